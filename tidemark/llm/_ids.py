@@ -11,6 +11,7 @@ table is bounded by ``KEEP`` segments.
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 
 from tidemark.llm import _bytes as B
 
-KEEP = 1_500_000
+KEEP = 1_200_000
 _workers: dict[str, "Encoder"] = {}
 
 
@@ -30,11 +31,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.joins_spaces = joins_spaces
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, self.kind)
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.joins_spaces:
@@ -58,12 +60,12 @@ class Encoder:
         if len(new):
             raw = data.tobytes()
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)], add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for e in ids for x in e), np.int32, int(count.sum()))
+            count = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(count.sum()))
             if len(self.keys) + len(new) > KEEP and len(self.keys):
                 self.clear()
                 return self.known(keys, data, start, end)
-            first = len(self.pool) + np.cumsum(count) - count
+            first = len(self.pool) + np.cumsum(count, dtype=np.int64) - count
             self.pool = np.concatenate([self.pool, flat])
             keep = np.concatenate([self.keys, keys[new]])
             order = np.argsort(keep, kind="stable")
@@ -74,14 +76,14 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of each text, then end_id."""
         parts, counts = [], []
-        for _, data, offsets in B.blocks(texts, 4 * B.BLOCK):
+        for _, data, offsets in B.blocks(texts, 2 * B.BLOCK):
             n = len(offsets) - 1
             start, end, owner = self.cuts(data, offsets)
             sums = B.prefix(data)
             keys, where, back = np.unique(B.spans(sums, start, end), return_index=True, return_inverse=True)
             del sums
             at = self.known(keys, data, start[where], end[where])
-            first, count = self.first[at][back], self.count[at][back]
+            first, count = self.first[at][back], self.count[at][back].astype(np.int64)
             per = np.bincount(owner, count, n).astype(np.int64) + 1
             begins = np.cumsum(per) - per
             out = np.full(int(per.sum()), end_id, np.int32)
