@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, outliers, packing, token_files
+from tidemark.llm import minhash, mixing, outliers, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (outliers.op1_quality_rules, token_files.op2_token_files, mixing.op7_mixing, packing.op8_harmonic_packing)
+    found = (outliers.op1_quality_rules, token_files.op2_token_files, mixing.op7_mixing, packing.op8_harmonic_packing, minhash.op9_minhash)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.SQL}
+    return {"op7_mixing": mixing.SQL, "op9_minhash": minhash.SQL}
