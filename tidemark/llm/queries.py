@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash, mixing, outliers, packing, token_files
+from tidemark.llm import minhash, mixing, outliers, packing, repeats, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (outliers.op1_quality_rules, token_files.op2_token_files, mixing.op7_mixing, packing.op8_harmonic_packing, minhash.op9_minhash)
+    found = (outliers.op1_quality_rules, token_files.op2_token_files, mixing.op7_mixing, packing.op8_harmonic_packing, minhash.op9_minhash, repeats.op10_repeated_passages)
     return {f.__name__: f for f in found}
 
 
