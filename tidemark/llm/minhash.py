@@ -4,19 +4,26 @@ Each document has two collections of T half keys, each of R minhashes; table (i,
 half key i of the first collection and j of the second as its key.  So T * T tables
 of 2R minhashes come from 2TR minhashes in place of 2RTT.  A pair is found in some table
 if and only if a half key of each collection agrees, so a pair of similarity s is missed
-with probability 1 - (1 - (1 - s**R)**T)**2: 6e-6 at 0.85 for R = 2, T = 10.
+with probability 1 - (1 - (1 - s**R)**T)**2: 9e-6 at 0.85 for R = 3, T = 13.
 
 Steps, none of which lists the pairs of a group:
 
 1. Documents with equal shingle sets are one class, named by its smallest doc_id.
 2. Half keys that only one class has can't be in a shared table key; the others of a
-   class are combined to table keys.
+   class are combined to table keys, each with the class of the set's size and the next
+   (sets that are similar enough differ by one size class at most).
 3. Each table key's classes are compared with its smallest one, on full sets.
 4. Links give components.  Where a table key still holds several components, the
    classes outside its largest component are compared with all others there, but for
-   pairs that the triangle inequality of the Jaccard distance rules out (by the
-   distances to the smallest class, known from step 3).  So every pair with a common
-   table key is linked, in one component already, or ruled out: nothing is capped.
+   pairs that can't be similar enough: by the triangle inequality of the Jaccard distance
+   (distances to the smallest class are known from step 3), or by the numbers of
+   shingles that no other class of those keys has (they lie in no intersection).  So
+   every pair with a common table key is linked, in one component already, or ruled
+   out by a proof: nothing is capped.
+5. The classes of table keys with more than ``WIDE`` classes, as around a text with very
+   many loose copies, aren't paired: those that such keys connect are a bunch, a bunch
+   is cut into blocks of about ``BLOCK`` texts, and for each pair of blocks one task
+   counts common shingles by an index and returns one link for any two components.
 
 Defined cases: documents without a word (null, empty or blank texts) have no shingle
 and are linked with nothing; a null doc_id is linked with nothing and kept; rows with
@@ -26,6 +33,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +45,8 @@ from tidemark.llm import _bytes as B
 from tidemark.llm import _files
 from tidemark.llm.components import components
 
-T, R, PERCENT = 10, 2, 85
+T, R, PERCENT = 13, 3, 85
+WIDE, BLOCK = 64, 2048
 _random = np.random.RandomState(97)
 _MULTIPLY = _random.randint(0, 1 << 62, 2 * T * R, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.randint(0, 1 << 62, 2 * T * R, dtype=np.int64).view(np.uint64)
@@ -117,6 +126,58 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}, common long, whole long")
 
 
+def shingled(texts: DataFrame) -> DataFrame:
+    """A row (doc_id, h) for each distinct shingle of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in B.blocks(batch.column("text")):
+                found, owner = shingles(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at + owner)), pa.array(found.view(np.int64))], ["doc_id", "h"])
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long")
+
+
+def blocks(wide: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of each bunch.  wide: classes rep, with a label, by the least class of each wide table key that they have."""
+    bunches = components(wide.select("least", "rep"))
+    reps = wide.select("rep", "label").distinct().join(bunches.select(F.col("node").alias("rep"), F.col("label").alias("bunch")), "rep")
+    reps = _files.stored(reps, "bunches")
+    many = reps.groupBy("bunch").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    placed = reps.join(many, "bunch").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    # block k is first in the pairs (k, k) ... (k, n - 1) and second in (0, k) ... (k - 1, k)
+    pairs = placed.select("rep", "label", "bunch", "k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select("rep", "label", "bunch", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k")
+    rows = pairs.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        group = group.combine_chunks()
+        rep, label = group.column("rep").to_pylist(), group.column("label").to_pylist()
+        numbers = {x: n for n, x in enumerate(dict.fromkeys(label))}
+        label_of = np.array([numbers[x] for x in label])
+        first = np.array(group.column("k").to_pylist()) == i
+        found, owner = shingles(*B.column(group.column("text")))
+        size = np.bincount(owner, minlength=len(rep))
+        starts = np.cumsum(size) - size
+        second = np.flatnonzero(~first if i != j else first)
+        inside = np.isin(owner, second)
+        order = np.argsort(found[inside], kind="stable")
+        values, owners = found[inside][order], owner[inside][order]
+        links: dict[tuple, tuple] = {}
+        for x in np.flatnonzero(first):
+            mine = found[starts[x] : starts[x] + size[x]]
+            low, high = np.searchsorted(values, mine), np.searchsorted(values, mine, "right")
+            common = np.bincount(owners[B.ragged(low, high - low)], minlength=len(rep))
+            near = (common * 100 >= (size[x] + size - common) * percent) & (common > 0) & (label_of != label_of[x])
+            for y in np.flatnonzero(near):
+                links.setdefault(tuple(sorted((label_of[x], label_of[y]))), (rep[x], rep[y]))
+        pairs = [sorted(p) for p in links.values()]
+        return pa.table({"a": pa.array([p[0] for p in pairs], group.schema.field("rep").type), "b": pa.array([p[1] for p in pairs], group.schema.field("rep").type)})
+
+    return rows.groupBy("bunch", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     stored = _files.stored
@@ -124,11 +185,13 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     real = signs.where("f1 is not null and doc_id is not null")
     classes = stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep")), "classes")
     # half keys that several classes have, and their combinations
-    halves = classes.select("rep", F.posexplode("keys").alias("k", "half"))
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(percent / 100) + 1e-9).cast("int")
+    halves = classes.select("rep", size_class.alias("c"), F.posexplode("keys").alias("k", "half"))
     shared = halves.groupBy("half").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("half")
     of = lambda first: F.collect_list(F.when((F.col("k") < T) if first else (F.col("k") >= T), F.col("half")))
-    mine = halves.join(shared, "half").groupBy("rep").agg(of(True).alias("one"), of(False).alias("two"))
-    members = mine.select("rep", F.explode("one").alias("one"), "two").select("rep", "one", F.explode("two").alias("two")).select(F.xxhash64("one", "two").alias("key"), "rep")
+    mine = halves.join(shared, "half").groupBy("rep", "c").agg(of(True).alias("one"), of(False).alias("two"))
+    members = mine.select("rep", "c", F.explode("one").alias("one"), "two").select("rep", "c", "one", F.explode("two").alias("two"))
+    members = members.select("rep", "one", "two", F.explode(F.array("c", F.col("c") + 1)).alias("c")).select(F.xxhash64("one", "two", "c").alias("key"), "rep")
     members = stored(members, "members")
     pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most").select("key", "pivot")
     members = stored(members.join(pivots, "key"), "members")
@@ -147,16 +210,31 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     distance = F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(1 - F.col("common") / F.col("whole"))
     far = measured.groupBy(F.col("a").alias("pivot"), F.col("b").alias("rep")).agg(F.max("common").alias("common"), F.max("whole").alias("whole"))
     inside = stored(named.join(mixed, "key").join(far, ["pivot", "rep"], "left").select("key", "rep", "pivot", "label", distance.alias("d")), "mixed")
-    sizes = inside.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    slack = 1 - percent / 100 + 1e-9
-    cell = F.floor(F.col("d") / slack)
-    minor = inside.join(largest, "key").where("label <> largest and rep <> pivot").select("key", F.col("rep").alias("x"), F.col("label").alias("x_label"), F.col("d").alias("x_d"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    others = inside.where("rep <> pivot").select("key", F.col("rep").alias("y"), F.col("label").alias("y_label"), F.col("d").alias("y_d"), cell.alias("cell"))
-    crossing = minor.join(others, ["key", "cell"]).where((F.col("x_label") != F.col("y_label")) & (F.abs(F.col("x_d") - F.col("y_d")) <= slack))
-    crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    # shingles that only one class of these keys has
+    pool = stored(classes.select("rep", "n_shingles").join(inside.select("rep").distinct(), "rep"), "pool")
+    own = shingled(texts.join(pool.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("u"))
+    slack = 1 - percent / 100
+    able = pool.join(own, "rep", "left").select("rep", F.col("n_shingles").alias("n"), F.coalesce("u", F.lit(0)).alias("u")).where(F.col("u") * 100 <= F.col("n") * (100 - percent))
+    inside = stored(inside.join(able, "rep"), "able")
+    sizes = inside.groupBy("key", "label").agg(F.count("*").alias("size"), F.min("rep").alias("least"))
+    keys = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels"), F.sum("size").alias("size"), F.min("least").alias("least")).where("labels > 1")
+    keys = stored(keys, "keys")
+    largest = keys.where(F.col("size") <= WIDE).select("key", "largest")
+    cell = F.floor(F.col("d") / (slack + 1e-9))
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("rep", "label", "d", "n", "u")]
+    minor = inside.join(largest, "key").where("label <> largest and rep <> pivot").select("key", *side("x"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    others = inside.where("rep <> pivot").select("key", *side("y"), cell.alias("cell"))
+    common = F.least(F.col("x_n") - F.col("x_u"), F.col("y_n") - F.col("y_u"))
+    possible = (F.col("x_label") != F.col("y_label")) & (F.abs(F.col("x_d") - F.col("y_d")) <= slack + 1e-9) & (common * 100 >= (F.col("x_n") + F.col("y_n") - common) * percent)
+    crossing = minor.join(others, ["key", "cell"]).where(possible)
+    crossing = crossing.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     crossing = stored(crossing, "crossing")
-    more = stored(compared(crossing, texts), "more").where(near).select("a", "b")
+    more = compared(crossing, texts).where(near).select("a", "b")
+    wide = inside.join(keys.where(F.col("size") > WIDE).select("key", "least"), "key").select("least", "rep", "label").distinct()
+    wide = stored(wide, "wide")
+    if not wide.isEmpty():
+        more = more.union(blocks(wide, texts, percent))
+    more = stored(more, "more")
     if not more.isEmpty():
         labels = stored(components(links.union(more)), "labels")
     # every document
