@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, html_text, minhash, mixing, outliers, packing, repeats, token_files
+from tidemark.llm import chat, html_text, licenses, minhash, mixing, neighbours, outliers, packing, repeats, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (outliers.op1_quality_rules, token_files.op2_token_files, chat.op4_chat_format, html_text.op5_main_text, mixing.op7_mixing, packing.op8_harmonic_packing, minhash.op9_minhash, repeats.op10_repeated_passages)
+    found = (outliers.op1_quality_rules, token_files.op2_token_files, licenses.op3_license_scan, chat.op4_chat_format, html_text.op5_main_text, neighbours.op6_nearest_neighbours, mixing.op7_mixing, packing.op8_harmonic_packing, minhash.op9_minhash, repeats.op10_repeated_passages)
     return {f.__name__: f for f in found}
 
 
