@@ -10,7 +10,7 @@ anchor's hash can hold equal windows:
    which stretches repeat an earlier equal one (covered whole) and which share an
    anchor with different ones (to be compared).  Others hold no repeated window.
 2. The texts concerned are fetched once; stretches to be compared are dealt out to
-   shards by anchor hash.  A shard's suffix array (induced sorting) and permuted common
+   shards by anchor hash.  There, runs of windows whose hashes recur are kept; their suffix array (induced sorting) and permuted common
    prefixes give its equal windows, exactly, and each window but the earliest is covered.
 3. An anchor hash of more than ``HOT`` stretches, as at the edge of a passage that very
    many documents share, isn't gathered in a shard: its windows are aggregated by their
@@ -242,12 +242,28 @@ def _joined(d: np.ndarray, v: np.ndarray, start: np.ndarray) -> pa.Table:
     return pa.table({"d": d[head], "v": v[head], "start": start[head].astype(np.int32), "stop": (start[ends] + WINDOW).astype(np.int32)})
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, first, last window) of runs of windows whose hashes occur twice or more: others are equal to none."""
+    many = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
+    owner, at = np.repeat(np.arange(len(many)), many), B.ragged(offsets[:-1], many)
+    hashes = B.spans(B.prefix(data), at, at + WINDOW)
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    twice = np.zeros(len(at) + 1, bool)  # the last is False
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    edge = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
+    last = np.flatnonzero(twice[:-1] & (edge | ~twice[1:]))
+    first = np.flatnonzero(twice[:-1] & np.concatenate([[True], edge[:-1] | ~twice[: len(at) - 1]])[: len(at)])
+    return owner[first], at[first], at[last]
+
+
 def _shard(key: tuple, group: pa.Table) -> pa.Table:
     """Windows of a shard's stretches that start earlier elsewhere too."""
-    strings = group.column("string").combine_chunks()
-    data, offsets = B.column(strings)
-    n = len(offsets) - 1
-    length = np.diff(offsets)
+    raw, bounds = B.column(group.column("string").combine_chunks())
+    row, first, last = _runs(raw, bounds)
+    n, length = len(row), last - first + WINDOW
+    data, offsets = raw[B.ragged(first, length)], np.concatenate([[0], np.cumsum(length)])
+    first -= bounds[row]
     # one text: each stretch and a letter below all bytes; bytes take values 1 to 256 in the array's alphabet
     begin = offsets[:-1] + np.arange(n)
     letters = np.zeros(len(data) + n, np.int16)
@@ -266,8 +282,8 @@ def _shard(key: tuple, group: pa.Table) -> pa.Table:
     joins[1:] = (prefixes[sa[1:]] >= WINDOW) & window_sa[1:] & window_sa[:-1]
     group_of = np.cumsum(~joins)
     at, g = sa[window_sa], group_of[window_sa]
-    d, v, start = (group.column(k).combine_chunks().to_numpy() for k in ("d", "v", "start"))
-    wd, wv, ws = d[owner[at]], v[owner[at]], start[owner[at]] + inside[at]
+    d, v, start = (group.column(k).combine_chunks().to_numpy()[row] for k in ("d", "v", "start"))
+    wd, wv, ws = d[owner[at]], v[owner[at]], (start + first)[owner[at]] + inside[at]
     order = np.lexsort((ws, wv, wd, g))
     g, wd, wv, ws = g[order], wd[order], wv[order], ws[order]
     first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
