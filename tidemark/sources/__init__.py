@@ -34,9 +34,8 @@ class _Reader(SimpleDataSourceStreamReader):
         return {"at": 0}
 
     def rows_of(self, a: int, b: int) -> Iterator[tuple]:
-        for n in range(a, b):
-            p, o = n % self.partitions, n // self.partitions
-            yield p, o, f"{p:02d}-{(p * 1_000_003 + o) % (1 << 64):016x}"
+        places = ((n % self.partitions, n // self.partitions) for n in range(a, b))
+        return iter([(p, o, f"{p:02d}-{(p * 1_000_003 + o) % (1 << 64):016x}") for p, o in places])  # a batch is copied, so it's a list
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = min(self.limit, start["at"] + self.rows)
