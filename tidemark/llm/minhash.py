@@ -46,7 +46,7 @@ from tidemark.llm import _files
 from tidemark.llm.components import components
 
 T, R, PERCENT = 13, 3, 85
-WIDE, BLOCK = 64, 2048
+WIDE, BLOCK = 16, 2048
 _random = np.random.RandomState(97)
 _MULTIPLY = _random.randint(0, 1 << 62, 2 * T * R, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.randint(0, 1 << 62, 2 * T * R, dtype=np.int64).view(np.uint64)
@@ -197,7 +197,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = stored(members.join(pivots, "key"), "members")
     pairs = stored(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").distinct(), "texts")
+    texts = stored(docs.select("doc_id", "text").hint("merge").join(wanted.hint("merge"), "doc_id", "left_semi").distinct(), "texts")
     measured = stored(compared(pairs, texts), "measured")
     near = F.col("common") * 100 >= F.col("whole") * percent
     links = measured.where(near).select("a", "b")
