@@ -43,7 +43,7 @@ from tidemark.llm.suffixes import common_prefixes, suffix_array
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1  # substrings in a window
 MANY, HOT = 64, 4000
-CHUNK, BUCKET, SHARD = 24 << 20, 8 << 20, 1 << 20  # bytes of text that a task gathers; of text for a bucket; of stretches for a shard
+CHUNK, BUCKET, SHARD = 8 << 20, 8 << 20, 1 << 20  # bytes of text that a task gathers; of text for a bucket; of stretches for a shard
 PIECE = 1 << 23
 NULL = (1 << 63) - 1
 CELL = np.dtype([("h", "<u8"), ("f", "<u8"), ("d", "<i8"), ("v", "<i8"), ("start", "<i4"), ("length", "<i2"), ("anchor", "<i2")])
