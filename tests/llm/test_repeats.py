@@ -71,7 +71,7 @@ def test_brute(spark, seed):
 
 
 def test_hot_and_many(spark, monkeypatch):
-    for name, value in (("MANY", 2), ("HOT", 3), ("CHUNK", 3000), ("PIECE", 500)):
+    for name, value in (("MANY", 2), ("HOT", 3), ("CHUNK", 3000), ("PIECE", 500), ("PART", 300)):
         monkeypatch.setattr(repeats, name, value)
     check(docs(spark, corpus(3)).repartition(3))
 

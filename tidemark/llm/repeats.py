@@ -10,8 +10,9 @@ anchor's hash can hold equal windows:
    which stretches repeat an earlier equal one (covered whole) and which share an
    anchor with different ones (to be compared).  Others hold no repeated window.
 2. The texts concerned are fetched once; stretches to be compared are dealt out to
-   shards by anchor hash.  There, runs of windows whose hashes recur are kept; their suffix array (induced sorting) and permuted common
-   prefixes give its equal windows, exactly, and each window but the earliest is covered.
+   shards by anchor hash.  There, runs of windows whose hashes recur are kept; their
+   suffix array (induced sorting) and permuted common prefixes give the equal windows,
+   exactly, and each window but the earliest is covered.
 3. An anchor hash of more than ``HOT`` stretches, as at the edge of a passage that very
    many documents share, isn't gathered in a shard: its windows are aggregated by their
    128-bit hashes (minima before the shuffle).
@@ -42,9 +43,9 @@ from tidemark.llm.suffixes import common_prefixes, suffix_array
 
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1  # substrings in a window
-MANY, HOT = 64, 4000
+MANY, HOT = 64, 2000
 CHUNK, BUCKET, SHARD = 8 << 20, 8 << 20, 1 << 20  # bytes of text that a task gathers; of text for a bucket; of stretches for a shard
-PIECE = 1 << 23
+PIECE, PART = 1 << 23, 1 << 19
 NULL = (1 << 63) - 1
 CELL = np.dtype([("h", "<u8"), ("f", "<u8"), ("d", "<i8"), ("v", "<i8"), ("start", "<i4"), ("length", "<i2"), ("anchor", "<i2")])
 ANSWER = "d long, v long, start int, stop int, h long, anchor int"
@@ -258,7 +259,19 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _shard(key: tuple, group: pa.Table) -> pa.Table:
-    """Windows of a shard's stretches that start earlier elsewhere too."""
+    """Windows of a shard's stretches that start earlier elsewhere too; anchor hashes are taken together up to about PART bytes."""
+    group = group.sort_by("h").combine_chunks()
+    size, h = np.cumsum(B.column(group.column("string").combine_chunks())[1][1:]), group.column("h").to_numpy()
+    ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+    cuts, first = [0], 0
+    for e in ends.tolist():
+        if size[e - 1] - first >= PART or e == len(h):
+            cuts.append(e)
+            first = size[e - 1]
+    return pa.concat_tables([_compare(group.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _compare(group: pa.Table) -> pa.Table:
     raw, bounds = B.column(group.column("string").combine_chunks())
     row, first, last = _runs(raw, bounds)
     n, length = len(row), last - first + WINDOW
@@ -316,7 +329,7 @@ def covered(strings: DataFrame, size: int) -> DataFrame:
         cold, hot = strings, None
     else:
         cold, hot = strings.join(hot_keys, "h", "left_anti"), strings.join(hot_keys, "h", "left_semi")
-    out = cold.select("d", "v", "start", "string", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard, COVERED)
+    out = cold.select("d", "v", "start", "h", "string", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard, COVERED)
     if hot is not None:
         n = max(strings.sparkSession.sparkContext.defaultParallelism * 4, int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         windows = hot.select("d", "v", "start", "string").repartition(n).mapInArrow(_windows, "d long, v long, start int, w1 long, w2 long")

@@ -73,7 +73,8 @@ def _induce_batches(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, seed
     seed_at = np.concatenate([[0], np.cumsum(counts)])
     # larger suffixes: from the left, each from the one behind it
     head = starts[:-1].copy()
-    for c in range(letters):
+    used = np.flatnonzero(starts[1:] > starts[:-1]).tolist()
+    for c in used:
         at = int(starts[c])
         while True:
             now, at = sa[at : head[c]], int(head[c])
@@ -84,7 +85,7 @@ def _induce_batches(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, seed
     # smaller suffixes: from the right
     tail = starts[1:].copy()
     larger_end = head
-    for c in range(letters - 1, -1, -1):
+    for c in reversed(used):
         at = int(starts[c + 1])
         while True:
             now, at = sa[tail[c] : at][::-1], int(tail[c])
