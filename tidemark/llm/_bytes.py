@@ -8,6 +8,8 @@ each byte of that text).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,20 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.RandomState(20240229).randint(0, 1 << 63, 256, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+#: What other modules keep in a worker between tasks; ``turn`` drops it.
+kept: list = []
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def turn() -> None:
+    """For operators that keep nothing in a worker: what another operator left there goes back to the system."""
+    if kept:
+        while kept:
+            kept.pop().clear()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in 0..n, kept between calls."""
     if len(_powers[0]) <= n:

@@ -76,7 +76,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of each text, then end_id."""
         parts, counts = [], []
-        for _, data, offsets in B.blocks(texts, 2 * B.BLOCK):
+        for _, data, offsets in B.blocks(texts):
             n = len(offsets) - 1
             start, end, owner = self.cuts(data, offsets)
             sums = B.prefix(data)
@@ -102,4 +102,5 @@ def encoder(path: str, joins_spaces: bool) -> Encoder:
     key = f"{path}|{joins_spaces}"
     if key not in _workers:
         _workers[key] = Encoder(path, joins_spaces)
+        B.kept.append(_workers)
     return _workers[key]

@@ -74,6 +74,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.turn()
         for batch in batches:
             for at, data, offsets in B.blocks(batch.column("text")):
                 n = len(offsets) - 1
@@ -107,6 +108,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.turn()
         for batch in batches:
             size = B.column(batch.column("text_a"))[1] + B.column(batch.column("text_b"))[1]
             first, n = 0, batch.num_rows
@@ -130,6 +132,7 @@ def shingled(texts: DataFrame) -> DataFrame:
     """A row (doc_id, h) for each distinct shingle of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.turn()
         for batch in batches:
             for at, data, offsets in B.blocks(batch.column("text")):
                 found, owner = shingles(data, offsets)

@@ -114,6 +114,7 @@ def statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     carry = carry or ["doc_id", "lang", "source"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.turn()
         for batch in batches:
             c = count(batch.column("q"))
             x = vector(c)

@@ -51,7 +51,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
             return pa.RecordBatch.from_arrays([ids, *map(pa.array, (start, np.full(n, size, np.int64), total, base + sequence, offset)), lists], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for first, _, offsets in B.blocks(batch.column("text"), 2 * B.BLOCK):
+            for first, _, offsets in B.blocks(batch.column("text"), B.BLOCK):
                 n = len(offsets) - 1
                 doc_ids = batch.column("doc_id").slice(first, n)
                 flat, at = table.encode(batch.column("text").slice(first, n), end_id)

@@ -158,6 +158,7 @@ def candidates(named: DataFrame, buckets: int) -> DataFrame:
     """Places that are covered whole (h null), and stretches to be compared."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.turn()
         held, size, count = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -260,6 +261,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _shard(key: tuple, group: pa.Table) -> pa.Table:
     """Windows of a shard's stretches that start earlier elsewhere too; anchor hashes are taken together up to about PART bytes."""
+    B.turn()
     group = group.sort_by("h").combine_chunks()
     size, h = np.cumsum(B.column(group.column("string").combine_chunks())[1][1:]), group.column("h").to_numpy()
     ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))

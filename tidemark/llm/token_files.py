@@ -46,7 +46,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, join
 
         table, shard, done = encoder(tokenizer, joins_spaces), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, _, offsets in B.blocks(batch.column("text"), 2 * B.BLOCK):
+            for first, _, offsets in B.blocks(batch.column("text"), B.BLOCK):
                 n = len(offsets) - 1
                 flat, at = table.encode(batch.column("text").slice(first, n), end_id)
                 tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
