@@ -50,7 +50,7 @@ def brute(rows, least=O.LEAST):
         for i, t in members:
             b = base(t)
             d = 0 if estimate is None else (x_of(t) - estimate[0]) @ estimate[1] @ (x_of(t) - estimate[0])
-            out.append((i, *b, not b[-1] and d <= O.chi_square(O.QUANTILE, O.D)))
+            out.append((i, *b, not b[-1] and d <= O.chi_square_above(O.TAIL, O.D)))
     return collections.Counter(out)
 
 
