@@ -263,7 +263,7 @@ def _shard(key: tuple, group: pa.Table) -> pa.Table:
     """Windows of a shard's stretches that start earlier elsewhere too; anchor hashes are taken together up to about PART bytes."""
     B.turn()
     group = group.sort_by("h").combine_chunks()
-    size, h = np.cumsum(B.column(group.column("string").combine_chunks())[1][1:]), group.column("h").to_numpy()
+    size, h = B.column(group.column("string").combine_chunks())[1][1:], group.column("h").to_numpy()
     ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
     cuts, first = [0], 0
     for e in ends.tolist():

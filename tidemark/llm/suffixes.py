@@ -22,7 +22,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _sort(np.append(np.asarray(text, np.int64) + 1, 0))[1:]
 
 
-def _sort(t: np.ndarray) -> np.ndarray:
+def _sort(t: np.ndarray, top: bool = True) -> np.ndarray:
     """The suffix array of t, whose last letter is 0 and occurs once."""
     n, letters = len(t), int(t.max()) + 1
     if n == 1:
@@ -35,7 +35,7 @@ def _sort(t: np.ndarray) -> np.ndarray:
     smaller[inner] = t[following[inner]] < t[following[inner] + 1]
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     starts = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=letters))])
-    induce = _induce_batches if letters <= _SMALL else _induce_letters
+    induce = _induce_batches if top and letters <= _SMALL else _induce_letters
     sa = induce(t, smaller, starts, leftmost)
     # names of the leftmost-smaller substrings, in sorted order
     is_leftmost = np.zeros(n, bool)
@@ -60,7 +60,7 @@ def _sort(t: np.ndarray) -> np.ndarray:
     if names[-1] + 1 < m:
         reduced = np.empty(m, np.int64)
         reduced[place[order]] = names
-        order = leftmost[_sort(reduced)]
+        order = leftmost[_sort(reduced, False)]
     return induce(t, smaller, starts, order)
 
 
