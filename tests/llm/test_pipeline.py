@@ -6,7 +6,7 @@ import corpus_pipeline
 from test_minhash import brute as near
 from test_outliers import brute as quality
 from test_repeats import brute as repeats
-from test_tokens import WORDS, check_packed, ids_of
+from test_tokens import WORDS, ids_of
 
 from tidemark.llm import mixing
 
@@ -36,16 +36,12 @@ def test_stages(spark, sf):
         total[p.doc_id] += p.length
     texts = {r.doc_id: r.text for r in rows}
     assert total == collections.Counter({i: n * len(ids_of(WORDS, texts[i], 2)) for i, n in many.items() if n})
-    once = {i: t for i, t in texts.items() if many[i] == 1}
     by = collections.defaultdict(int)
     for p in five:
         by[p.sequence_id] += p.length
-    assert all(n & (n - 1) == 0 and n <= 4096 for n in by.values()) and once
+    assert all(n & (n - 1) == 0 and n <= 4096 for n in by.values())
 
 
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
-
-
-del check_packed
