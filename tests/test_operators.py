@@ -161,7 +161,7 @@ def test_benchmark_files(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"defaults": {"message_count": 100, "jitter": 0.1}, "runs": [{"concurrent_keys": 5}, {"concurrent_keys": 6, "jitter": 0.3}]}')
     got = {r.concurrent_keys: (r.message_count, r.jitter) for r in benchmark_runs(spark, str(tmp_path / "b.json")).collect()}
     assert got == {5: (100, 0.1), 6: (100, 0.3)}
-    row = spark.createDataFrame([("t", 1, 2, 3, 0.5, 4, 5, 6.0, 7.0, 8.0)], benchmark_results(spark, str(tmp_path)).schema if False else "timestamp string, message_count long, concurrent_keys int, processor_latency_ms int, jitter double, num_partitions int, duration_ms long, actual_tps double, theoretical_tps double, efficiency_pct double")
+    row = spark.createDataFrame([("t", 1, 2, 3, 0.5, 4, 5, 6.0, 7.0, 8.0)], "timestamp string, message_count long, concurrent_keys int, processor_latency_ms int, jitter double, num_partitions int, duration_ms long, actual_tps double, theoretical_tps double, efficiency_pct double")
     for _ in range(2):
         append_results(row, str(tmp_path / "csv"))
     assert benchmark_results(spark, str(tmp_path / "csv")).count() == 2
