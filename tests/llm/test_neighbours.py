@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tidemark.llm import neighbours
 
@@ -49,3 +51,18 @@ def test_recall(spark):
     got = neighbours.op6_nearest_neighbours(spark, "/root/testdata/sf0.1").collect()
     found = sum((g.vec_id in {i for i, _ in want[g.query_id]}) for g in got)
     assert len(got) == 20 * len(want) and found >= 0.9 * len(got)
+
+
+@pytest.mark.parametrize("lists", [1024, 64])
+def test_recall_of_a_share(spark, monkeypatch, lists):
+    """Even directions, the hardest: at 1024, 223 lists and 134 probes; at 64, lists of 781 vectors, of which 257 are ranked anew."""
+    monkeypatch.setattr(neighbours, "LISTS", lists)
+    x = np.random.RandomState(4).randn(50_000, 64)
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = neighbours.search(rows, "vec_id % 100 = 0").collect()
+    scores = x[::100].astype(float) @ x.T.astype(float)
+    scores[np.arange(500), np.arange(500) * 100] = -1
+    want = np.argpartition(-scores, 20, axis=1)[:, :20]
+    found = sum(g.vec_id in want[g.query_id // 100] for g in got)
+    assert len(got) == 20 * 500 and found >= 0.9 * len(got), found / len(got)

@@ -2,8 +2,9 @@
 
 Coarse centroids and codebooks are trained on a sample of at most ``SAMPLE`` vectors
 (those with the smallest hashes of their ids, so the same ones in every run); every
-vector is indexed.  A query goes to the lists of the ``PROBES`` centroids with the largest
-inner products; there, tables of inner products of its parts with the codebooks
+vector is indexed.  A query goes to the lists of the centroids with the largest inner
+products, a share ``SHARE`` of all lists and ``PROBES`` at least: directions spread evenly
+in 64 dimensions have their neighbours in that many lists.  There, tables of inner products of its parts with the codebooks
 score all codes, and the best share is ranked anew by exact inner products in double
 precision.  A list is cut into parts of about ``PART`` vectors and its queries likewise,
 so a hot list is many tasks; the best of a query's parts are merged.
@@ -16,6 +17,7 @@ ones count once; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import _files
 
 SAMPLE, LISTS, PROBES, CODES, PART, NEAREST = 20_000, 1024, 48, 256, 4096, 20
+SHARE = 0.6
 #: Of a part, so many of the best by codes are ranked anew, but at least LEAST.
 AGAIN, LEAST = 0.25, 256
 
@@ -90,7 +93,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
 
 
-def search(rows: DataFrame, queries, nearest: int = NEAREST, probes: int = PROBES) -> DataFrame:
+def search(rows: DataFrame, queries, nearest: int = NEAREST, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest found.  queries: a condition on vec_id."""
     spark = rows.sparkSession
     rows = _files.stored(valid(rows), "vectors")
@@ -99,6 +102,7 @@ def search(rows: DataFrame, queries, nearest: int = NEAREST, probes: int = PROBE
         return spark.createDataFrame([], f"query_id {rows.schema['vec_id'].dataType.simpleString()}, rank int, vec_id {rows.schema['vec_id'].dataType.simpleString()}, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]  # SAMPLE rows at most
     index = Index(np.stack(sample.to_numpy()).astype(np.float64), min(LISTS, max(1, int(n**0.5))))
+    probes = probes or max(PROBES, math.ceil(SHARE * len(index.centroids)))
     shared = spark.sparkContext.broadcast(index)  # LISTS centroids and CODES codes a part at most
     kind = rows.schema["vec_id"].dataType.simpleString()
 
