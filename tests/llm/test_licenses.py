@@ -31,3 +31,17 @@ def test_query(spark, sf):
     assert collections.Counter((r.doc_id, r.position, r.license) for r in licenses.op3_license_scan(spark, sf).collect()) == want
     lines = collections.Counter((r.doc_id, k) for r in rows for line in (r.text or "").split("\n") for k, v in licenses.TEMPLATES.items() if line == v)
     assert lines == collections.Counter({k: n for k, n in collections.Counter((i, k) for i, _, k in want.elements()).items()}) and len(lines) == 3
+
+
+def test_other_words_on_the_line():
+    def found(text):
+        return [x[2] for x in licenses.notices(text) if x[-1]]
+
+    for k, v in licenses.TEMPLATES.items():
+        bare = v.rstrip(".")
+        for text in (f"Copyright (c) 2024 X. {v}", f"Copyright (c) 2024 X Y {bare}; see the file for more", f"{bare} (the terms);", f"{'word ' * 90}{bare} {'more ' * 90}", f"{'Copyright (c) 2024 X, and so on, ' * 20}{bare} {'more ' * 30}"):
+            assert found(text) == [k], (k, text)
+    assert found('Licensed under the Apache License, Version 2.0 (the "License");') == ["Apache-2.0"]
+    assert found("Released under the MIT License or licensed under CC BY 4.0 at choice") == ["MIT", "CC-BY-4.0"]
+    assert found("Released under the ISC License. Released under the MIT License.") == ["ISC", "MIT"]
+    assert found("Copyright (c) 2024 X. All rights reserved.") == found("Released under the Y License, like the MIT one.") == []

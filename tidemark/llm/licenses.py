@@ -1,11 +1,12 @@
 """Operator 3: license scans by conditional compression.
 
-Candidate blocks are the lines that hold a license word (of a line of more than
-``LONG`` characters, the surroundings of each such word).  Each block is compressed by
+Candidate blocks are the sentences of a line that hold a license word, at most ``AROUND``
+characters to either side of it.  Each block is compressed by
 zstandard (in lower case) alone and with each template as a raw-content dictionary; templates are
-ranked by the bytes that they save.  The best ``TOP`` are then compared word by word, and
-the winner is the one with the fewest differing words, confirmed if these are at most a
-share ``DIFFERENCE`` of the template's words.  Identical blocks are scored once a worker.
+ranked by the bytes that they save.  The best ``TOP`` are then aligned with the block word by word,
+other words before and after the aligned stretch being free, and the winner is the one with
+the fewest differing words, confirmed if these are at most a share ``DIFFERENCE`` of the
+template's words.  What a confirmed notice leaves of its block is scored anew.  Identical blocks are scored once a worker.
 
 Defined cases: null and empty texts have no blocks; ties go to the template first in
 alphabetical order; repeated rows are scanned each; an empty table gives no rows; other
@@ -14,7 +15,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import difflib
 import functools
 import re
 from collections.abc import Iterator
@@ -44,9 +44,11 @@ TEMPLATES = {
     "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
     "Unlicense": "Released into the public domain under the Unlicense.",
 }
-LONG, AROUND, TOP, DIFFERENCE = 400, 150, 4, 0.1
+AROUND, TOP, DIFFERENCE = 150, 4, 0.1
 HINT = r"(?i)licen[cs]|copyright|public domain|creative commons"
 _HINT = re.compile(HINT)
+_STOP = re.compile(r"\.(?=\s|$)")
+_NOTICE = max(map(len, TEMPLATES.values()))
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -54,20 +56,17 @@ def blocks(text: str | None) -> Iterator[tuple[int, str]]:
     """(place in the text, block) of the candidate blocks."""
     at = 0
     for line in (text or "").split("\n"):
-        if len(line) <= LONG:
-            if _HINT.search(line):
-                yield at, line
-        else:
-            end = -1
-            for m in _HINT.finditer(line):
-                if m.start() < end:
-                    continue
-                a, b = max(0, m.start() - AROUND), min(len(line), m.end() + AROUND)
-                a = a if a == 0 else a + max(0, line[a : m.start()].rfind(". ") + 2 if ". " in line[a : m.start()] else line[a : m.start()].find(" ") + 1)
-                stop = re.compile(r"\.(?=\s|$)").search(line, m.end(), b)
-                b = stop.end() if stop else b
-                end = b
-                yield at + a, line[a:b]
+        end = whole = -1  # hints before whole have their notice in the last block
+        for m in _HINT.finditer(line):
+            if m.start() < end and m.end() <= whole:
+                continue
+            a, b = max(0, m.start() - AROUND), min(len(line), m.end() + AROUND)
+            dot = line.rfind(". ", a, m.start())
+            a = dot + 2 if dot >= 0 else line.find(" ", a, m.start()) + 1 or a if a else 0
+            stop = _STOP.search(line, m.end(), b)
+            end = b = stop.end() if stop else b
+            whole = b if stop or b == len(line) else b - _NOTICE
+            yield at + a, line[a:b]
         at += len(line) + 1
 
 
@@ -84,23 +83,53 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def align(template: list[str], own: list[str]) -> tuple[int, int, int]:
+    """(differing words, first word, end) of the stretch of own words nearest to the template (Sellers' alignment)."""
+    row = [(0, j) for j in range(len(own) + 1)]
+    for i, w in enumerate(template, 1):
+        new = [(i, 0)]
+        for j, x in enumerate(own, 1):
+            (c, at), (up, up_at), (left, left_at) = row[j - 1], row[j], new[-1]
+            new.append(min((c + (w != x), at), (up + 1, up_at), (left + 1, left_at)))
+        row = new
+    return min((c, at, j) for j, (c, at) in enumerate(row))
+
+
 @functools.lru_cache(maxsize=20_000)
-def score(block: str) -> tuple[str, int, int, int, int, bool]:
-    """(template, bytes alone, bytes saved, differing words, words of the template, confirmed) of the winner."""
+def _best(block: str) -> tuple[str, int, int, int, int, bool, int, int]:
+    """As score(), then the aligned stretch of the block."""
     alone, given, wordings = _tools()
     raw = block.lower().encode()
     size = len(alone.compress(raw))
     saved = sorted(((len(c.compress(raw)) - size, k) for k, c in given.items()))
-    own, best = words(block), None
-    for less, k in saved[:TOP]:
-        differ = 0
-        for op, a, b, c, d in difflib.SequenceMatcher(None, wordings[k], own, autojunk=False).get_opcodes():
-            differ += 0 if op == "equal" else max(b - a, d - c)
-        if best is None or (differ, less, k) < best[:3]:
-            best = (differ, less, k)
-    differ, less, k = best
+    places = [m.span() for m in _WORD.finditer(block)]
+    own = words(block)
+    differ, less, k, first, end = min((differ, less, k, first, end) for less, k in saved[:TOP] for differ, first, end in [align(wordings[k], own)])
     n = len(wordings[k])
-    return k, size, -less, differ, n, differ <= DIFFERENCE * n
+    return k, size, -less, differ, n, differ <= DIFFERENCE * n, *((places[first][0], places[end - 1][1]) if end > first else (0, 0))
+
+
+def score(block: str) -> tuple[str, int, int, int, int, bool]:
+    """(template, bytes alone, bytes saved, differing words, words of the template, confirmed) of the winner."""
+    return _best(block)[:6]
+
+
+def notices(text: str | None) -> Iterator[tuple]:
+    """(place, block, *score) of each block; of a block with a confirmed notice, also of confirmed ones before and after it."""
+    seen = set()
+    for at, block in blocks(text):
+        todo = [(at, block, True)]
+        while todo:
+            at, block, whole = todo.pop()
+            *row, a, b = _best(block)
+            if not row[-1]:
+                if whole:
+                    yield at, block, *row
+                continue
+            if (at + a, row[0]) not in seen:  # blocks of a long sentence overlap
+                seen.add((at + a, row[0]))
+                yield at, block, *row
+            todo += [(at + x, rest, False) for x, rest in ((b, block[b:]), (0, block[:a])) if _HINT.search(rest)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -111,7 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_())
-            rows = [(i.as_py(), at, block, *score(block)) for i, text in zip(batch.column("doc_id"), batch.column("text"), strict=True) for at, block in blocks(text.as_py())]
+            rows = [(i.as_py(), *found) for i, text in zip(batch.column("doc_id"), batch.column("text"), strict=True) for found in notices(text.as_py())]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
