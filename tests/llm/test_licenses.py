@@ -45,3 +45,17 @@ def test_other_words_on_the_line():
     assert found("Released under the MIT License or licensed under CC BY 4.0 at choice") == ["MIT", "CC-BY-4.0"]
     assert found("Released under the ISC License. Released under the MIT License.") == ["ISC", "MIT"]
     assert found("Copyright (c) 2024 X. All rights reserved.") == found("Released under the Y License, like the MIT one.") == []
+
+
+def test_notices_over_two_lines(spark):
+    rows, want = [], []
+    for i, (k, v) in enumerate(licenses.TEMPLATES.items()):
+        own = v.split()
+        for j in range(1, len(own)):
+            rows.append((100 * i + j, f"# Some words.\n# {' '.join(own[:j])}\n# {' '.join(own[j:])}\n# More words, and\n# more.", "en", "s"))
+            want.append((100 * i + j, k))
+        rows.append((100 * i, "Some words.\n" + v + "\nmore words", "en", "s"))
+        want.append((100 * i, k))
+    rows.append((9999, "Released under the\n\nMIT License.", "en", "s"))
+    got = licenses.scan(docs(spark, rows)).where("confirmed").collect()
+    assert sorted((r.doc_id, r.license) for r in got) == sorted(want)

@@ -6,7 +6,9 @@ zstandard (in lower case) alone and with each template as a raw-content dictiona
 ranked by the bytes that they save.  The best ``TOP`` are then aligned with the block word by word,
 other words before and after the aligned stretch being free, and the winner is the one with
 the fewest differing words, confirmed if these are at most a share ``DIFFERENCE`` of the
-template's words.  What a confirmed notice leaves of its block is scored anew.  Identical blocks are scored once a worker.
+template's words.  What a confirmed notice leaves of its block is scored anew.
+Notices that run over the ends of lines are looked for around each line end, within a
+paragraph, and are rows if confirmed.  Full license texts and longer headers are no templates.  Identical blocks are scored once a worker.
 
 Defined cases: null and empty texts have no blocks; ties go to the template first in
 alphabetical order; repeated rows are scanned each; an empty table gives no rows; other
@@ -45,7 +47,7 @@ TEMPLATES = {
     "Unlicense": "Released into the public domain under the Unlicense.",
 }
 AROUND, TOP, DIFFERENCE = 150, 4, 0.1
-HINT = r"(?i)licen[cs]|copyright|public domain|creative commons"
+HINT = r"(?i)licen[cs]|copyright|public\W+domain|creative\W+commons"
 _HINT = re.compile(HINT)
 _STOP = re.compile(r"\.(?=\s|$)")
 _NOTICE = max(map(len, TEMPLATES.values()))
@@ -132,6 +134,33 @@ def notices(text: str | None) -> Iterator[tuple]:
             todo += [(at + x, rest, False) for x, rest in ((b, block[b:]), (0, block[:a])) if _HINT.search(rest)]
 
 
+def wrapped(text: str | None) -> Iterator[tuple]:
+    """(place, block, *score) of confirmed notices that run over the ends of lines, within a paragraph."""
+    last = 0
+    for m in re.finditer(r"(?<=[^\n])\n(?=[^\n])", text or ""):
+        p = m.start()
+        a, b = max(last, text.rfind("\n\n", 0, p) + 1, p - 2 * _NOTICE), min(text.find("\n\n", p) % (len(text) + 1), p + 2 * _NOTICE)
+        while a <= p < b and _HINT.search(text, a, b):
+            *row, x, y = _best(text[a:b])
+            if not row[-1]:
+                break
+            if a + x < p < a + y:
+                yield a + x, text[a + x : a + y], *row
+                last = a + y  # not found again at its next line end
+                break
+            a, b = (a + y, b) if a + y <= p else (a, a + x)
+
+
+def both(text: str | None) -> list[tuple]:
+    """notices() and wrapped(); where these overlap in confirmed ones, those with fewer differing words."""
+    rows = list(notices(text))
+    for x in wrapped(text):
+        same = [r for r in rows if r[-1] and r[0] < x[0] + len(x[1]) and x[0] < r[0] + len(r[1])]
+        if all(x[5] < r[5] for r in same):
+            rows = [r for r in rows if r not in same] + [x]
+    return rows
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each candidate block, with its winner."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -140,7 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_())
-            rows = [(i.as_py(), *found) for i, text in zip(batch.column("doc_id"), batch.column("text"), strict=True) for found in notices(text.as_py())]
+            rows = [(i.as_py(), *found) for i, text in zip(batch.column("doc_id"), batch.column("text"), strict=True) for found in both(text.as_py())]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
