@@ -76,6 +76,24 @@ def test_hot_and_many(spark, monkeypatch):
     check(docs(spark, corpus(3)).repartition(3))
 
 
+def test_hot_passage(spark, monkeypatch):
+    """One passage in every text, at odd places: its edges are hot anchors in many parts, and no part's windows are joined with all copies."""
+    monkeypatch.setattr(repeats, "HOT", 20)
+    r = random.Random(11)
+    passage = " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    rows = [(i, f"{r.random()} {'x' * r.randrange(9)}{passage}{r.random()}", "en", "s") for i in range(400)]
+    check(docs(spark, rows).repartition(5))
+
+
+def test_clean_keeps_columns(spark):
+    """Columns named like the operator's own come back as they were."""
+    text = "abc " * 60
+    names = ("d", "v", "bytes", "left", "_0", "start", "h", "n_chars")
+    df = spark.createDataFrame([(i, text + str(i), *[f"{n}{i}" for n in names[:-1]], 7) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[:-1]) + ", n_chars long")
+    got = repeats.clean(df).collect()
+    assert {r.doc_id for r in got} >= {0} and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names[:-1]) and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_long_pieces():
     import numpy as np
     import pyarrow as pa

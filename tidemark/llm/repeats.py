@@ -14,8 +14,9 @@ anchor's hash can hold equal windows:
    suffix array (induced sorting) and permuted common prefixes give the equal windows,
    exactly, and each window but the earliest is covered.
 3. An anchor hash of more than ``HOT`` stretches, as at the edge of a passage that very
-   many documents share, isn't gathered in a shard: its windows are aggregated by their
-   128-bit hashes (minima before the shuffle).
+   many documents share, is cut into parts of about ``HOT`` stretches.  Each part goes
+   through its suffix array like a shard and gives the first place of each of its
+   windows; of these, all but the earliest of all parts (by 128-bit hash) are covered.
 
 A task sends at most ``MANY`` stretches of one anchor hash to a bucket; beyond that they
 are known to differ and go to comparison without asking.  So a bucket gets a bounded
@@ -23,13 +24,13 @@ number of rows a task for any anchor.
 
 Defined cases: null text is empty and has no match; a null doc_id counts as the largest;
 different texts with one doc_id are different documents, ordered by a hash of the text;
-repeated rows are the same document and have equal results; an empty table gives no
-rows; other columns are ignored.
+repeated rows are the same document and have equal results; texts longer than ``PIECE``
+bytes are scanned in parts that overlap by a window; an empty table gives no rows; other
+columns are ignored by ``report`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,10 +149,11 @@ def _table(c: np.ndarray, compare: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, mask=none if k > 3 else None) for k, x in enumerate(columns)], ["d", "v", "start", "stop", "h", "anchor"])
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """Documents with d and v, by which they are ordered and told apart."""
+def identified(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The carried columns (doc_id, if not given) as _0, _1, ..., with d and v, by which documents are ordered and told apart, and bytes."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)), "v": F.xxhash64(text), "bytes": text.cast("binary")})
+    own = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carry or ["doc_id"])]
+    return docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("d"), F.xxhash64(text).alias("v"), text.cast("binary").alias("bytes"))
 
 
 def candidates(named: DataFrame, buckets: int) -> DataFrame:
@@ -260,7 +262,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _shard(key: tuple, group: pa.Table) -> pa.Table:
-    """Windows of a shard's stretches that start earlier elsewhere too; anchor hashes are taken together up to about PART bytes."""
+    """COVERED rows of a shard's stretches; anchor hashes are taken together up to about PART bytes.  Of a part of a hot anchor hash, also the first of each window."""
     B.turn()
     group = group.sort_by("h").combine_chunks()
     size, h = B.column(group.column("string").combine_chunks())[1][1:], group.column("h").to_numpy()
@@ -270,7 +272,30 @@ def _shard(key: tuple, group: pa.Table) -> pa.Table:
         if size[e - 1] - first >= PART or e == len(h):
             cuts.append(e)
             first = size[e - 1]
-    return pa.concat_tables([_compare(group.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    found = pa.concat_tables([_compare(group.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    for name in ("w1", "w2"):
+        found = found.append_column(name, pa.nulls(found.num_rows, pa.int64()))
+    return pa.concat_tables([found, _firsts(group)]) if key[0].is_valid else found
+
+
+def _firsts(group: pa.Table) -> pa.Table:
+    """The first place of each window of the stretches, with the window's 128-bit hash."""
+    data, bounds = B.column(group.column("string").combine_chunks())
+    many = np.maximum(np.diff(bounds) - WINDOW + 1, 0)
+    row, at = np.repeat(np.arange(len(many)), many), B.ragged(bounds[:-1], many)
+    eight = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1)).copy().view("<u8").reshape(-1)
+    w1, w2 = np.full(len(at), 0x243F6A8885A308D3, np.uint64), np.full(len(at), 0x13198A2E03707344, np.uint64)
+    for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+        word = eight[at + k]
+        w1, w2 = B.mix(w1 ^ word) + np.uint64(0xA4093822299F31D1), B.mix(w2 * np.uint64(0xD6E8FEB86659FD93) + word)
+    d, v, start = (group.column(k).combine_chunks().to_numpy()[row] for k in ("d", "v", "start"))
+    start = start + (at - bounds[:-1][row])
+    order = np.lexsort((start, v, d, w2, w1))
+    w1, w2 = w1[order], w2[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+    keep, start = order[new], start.astype(np.int32)
+    return pa.table({"d": d[keep], "v": v[keep], "start": start[keep], "stop": start[keep] + np.int32(WINDOW), "w1": w1[new].view(np.int64), "w2": w2[new].view(np.int64)})
 
 
 def _compare(group: pa.Table) -> pa.Table:
@@ -307,39 +332,25 @@ def _compare(group: pa.Table) -> pa.Table:
     return _joined(wd[later], wv[later], ws[later])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 2000):
-            part = batch.slice(k, 2000)
-            data, offsets = B.column(part.column("string"))
-            many = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
-            owner = np.repeat(np.arange(part.num_rows), many)
-            at = B.ragged(offsets[:-1], many)
-            raw = memoryview(data.tobytes())
-            digests = np.frombuffer(b"".join(hashlib.blake2b(raw[a : a + WINDOW], digest_size=16).digest() for a in at.tolist()), "<i8").reshape(-1, 2)
-            take = pa.array(owner)
-            start = part.column("start").to_numpy()[owner] + at - offsets[owner]
-            yield pa.RecordBatch.from_arrays([part.column("d").take(take), part.column("v").take(take), pa.array(start.astype(np.int32)), *(pa.array(digests[:, i].copy()) for i in (0, 1))], ["d", "v", "start", "w1", "w2"])
-
-
 def covered(strings: DataFrame, size: int) -> DataFrame:
     """COVERED rows from the stretches to be compared."""
-    counts = strings.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h")
-    hot_keys = _files.stored(counts, "hot")
-    shards = max(4, size // SHARD)
-    if hot_keys.isEmpty():
-        cold, hot = strings, None
+    parts = strings.groupBy("h").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+    parts = _files.stored(parts, "hot")
+    shard = F.pmod(F.xxhash64("h"), F.lit(max(4, size // SHARD)))
+    dealt = strings.select("d", "v", "start", "h", "string")
+    if parts.isEmpty():
+        dealt = dealt.withColumns({"hot": F.lit(None).cast("long"), "shard": shard})
     else:
-        cold, hot = strings.join(hot_keys, "h", "left_anti"), strings.join(hot_keys, "h", "left_semi")
-    out = cold.select("d", "v", "start", "h", "string", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard, COVERED)
-    if hot is not None:
-        n = max(strings.sparkSession.sparkContext.defaultParallelism * 4, int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        windows = hot.select("d", "v", "start", "string").repartition(n).mapInArrow(_windows, "d long, v long, start int, w1 long, w2 long")
-        windows = _files.stored(windows, "windows")
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("d", "v", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "f")
-        later = windows.join(first, ["w1", "w2"]).where(F.struct("d", "v", "start") != F.col("f"))
-        out = out.union(later.select("d", "v", "start", (F.col("start") + WINDOW).cast("int").alias("stop")))
-    return out
+        part = F.pmod(F.xxhash64("d", "v", "start"), F.col("parts"))
+        dealt = dealt.join(parts, "h", "left").withColumns({"hot": F.when(F.col("parts").isNotNull(), F.col("h")), "shard": F.coalesce(part, shard)}).drop("parts")
+    found = dealt.groupBy("hot", "shard").applyInArrow(_shard, f"{COVERED}, w1 long, w2 long")
+    if parts.isEmpty():
+        return found.drop("w1", "w2")
+    found = _files.stored(found, "compared")
+    firsts, place = found.where("w1 is not null"), F.struct("d", "v", "start")
+    least = firsts.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "f")
+    later = firsts.join(least, ["w1", "w2"]).where(place != F.col("f"))  # one row a window and part
+    return found.where("w1 is null").select("d", "v", "start", "stop").union(later.select("d", "v", "start", "stop"))
 
 
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,9 +377,9 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("v"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary())], ["d", "v", "n_removed", "n_spans", "left"])
 
 
-def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs with d, v and bytes; d, v, n_removed, n_spans and left, the remaining bytes, of documents that lose some)."""
-    named = identified(docs)
+def removed(docs: DataFrame, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(docs as identified() gives them; d, v, n_removed, n_spans and left, the remaining bytes, of documents that lose some)."""
+    named = identified(docs, carry)
     size = named.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     answers = _files.stored(candidates(named, max(4, size // BUCKET)), "candidates")
     places = answers.groupBy("d", "v").agg(
@@ -388,7 +399,7 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     named, lost = removed(docs)
-    whole = named.select("doc_id", "d", "v", F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("sha"))
+    whole = named.select(F.col("_0").alias("doc_id"), "d", "v", F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("sha"))
     lost = lost.select("d", "v", "n_removed", "n_spans", F.sha2("left", 256).alias("left_sha"))
     zero = F.lit(0).cast("long")
     return whole.join(lost, ["d", "v"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("left_sha", "sha").alias("kept_sha256"))
@@ -396,14 +407,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs with what is left of each text, and n_chars counted anew; documents of which nothing is left go.  A character that loses some of its bytes is removed whole."""
-    named, lost = removed(docs)
+    named, lost = removed(docs, docs.columns)
     lost = _files.stored(lost.select("d", "v", "left"), "left")
     decode = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore"), "string")
-    lost = lost.select("d", "v", decode("left").alias("_left"))
-    out = named.join(lost, ["d", "v"], "left").where("_left is null or _left <> ''")
-    text = F.coalesce("_left", "text")
-    fresh = {"text": text, "n_chars": F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.char_length("_left").cast("long"))} if "n_chars" in docs.columns else {"text": text}
-    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in docs.columns])
+    lost = lost.select("d", "v", decode("left").alias("left"))
+    out = named.join(lost, ["d", "v"], "left").where("left is null or left <> ''")
+    fresh = {"text": F.col("left"), "n_chars": F.char_length("left").cast("long")}
+    own = {c: F.col(f"_{k}") for k, c in enumerate(docs.columns)}
+    return out.select(*[(F.when(F.col("left").isNotNull(), fresh[c]).otherwise(x) if c in fresh else x).alias(c) for c, x in own.items()])
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
