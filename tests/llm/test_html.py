@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from tidemark.llm import html_text
 
@@ -27,6 +30,33 @@ def test_no_article_element():
     assert html_text.main_text(f"<body><nav><a href=x>menu</a></nav>{many}</body>") == plain(many)
 
 
+@pytest.mark.parametrize("inner", ["<figure><img src=x><figcaption>A caption of the picture.</figcaption></figure>", "<label>Label of a chart</label>", '<section id="market-share"><h2>Market share</h2><p>It grew.</p></section>', '<section class="search"><p>How to search well.</p></section>', '<div class="alert"><p>Mind the gap.</p></div>', "<header><h1>Title in a header</h1></header>", '<div class="post-header"><h2>Title in a div</h2></div>', "<fieldset><legend>Legend</legend>Inside.</fieldset>", '<div class="side"><p>One side of it.</p></div>'])
+def test_nothing_of_the_article_is_lost(inner):
+    assert html_text.main_text(page(BODY + inner + BODY)) == plain(re.sub("</?(figure|figcaption|label|section|div|header|fieldset|legend|img)[^>]*>", "</p>", BODY + inner + BODY))
+
+
+def test_pages_without_article():
+    links = "<ul>" + "<li><a href=x>another page of this site</a></li>" * 12 + "</ul>"
+    comments = "<h3>3 Comments</h3>" + "<div><b>reader</b><p>I think that this is quite right, and long too.</p></div>" * 3
+    want = plain("<h1>Title</h1>" + BODY * 6)
+    for p in (
+        f"<body><header><h1>Site</h1><nav>{links}</nav></header><div><header><h1>Title</h1></header>{BODY * 6}</div><div>{links}</div></body>",
+        f"<body><div id=page><div class=left>{links}</div><div><h1>Title</h1><div>{BODY * 6}</div></div><div>{comments}</div></div></body>",
+        f"<body><main><h1>Title</h1>{BODY * 3}<div class=ad><p>Buy it, buy it, buy it now.</p></div>{BODY * 3}{links}</main></body>",
+        f"<body><div><h1>Title</h1>{BODY * 3}<div class='x ad-slot'>{BODY}</div>{BODY * 3}</div><div><div>{links}<div><div>{links}</div></div></div></div></body>",
+    ):
+        assert html_text.main_text(p) == want
+    assert html_text.main_text(page("<h1>Title</h1>" + BODY * 6, "", f"<div>{comments}</div>")) == want
+
+
+@pytest.mark.parametrize("hostile", ["<div>" * 50_000, "<b>" * 50_000, "</p>" * 50_000, "<div>" * 25_000 + "</i>" * 25_000, "<div><b>" * 20_000 + "</i></p>" * 20_000, "<p><i>" * 30_000, "<a " * 50_000, '<a "' * 50_000, "<a '\"" * 50_000, "<" * 100_000, "<li>" * 50_000, "<td><table>" * 20_000, "<body>" * 50_000, "<!--" * 50_000, "<script" * 50_000, "<article><p>x" * 20_000, "<h2>Comments" * 20_000, "</" * 50_000])
+def test_time_is_linear(hostile):
+    began = time.perf_counter()
+    html_text.main_text(f"<body>{BODY}{hostile}")
+    html_text.main_text(f"<body><article>{BODY}</article>{hostile} x >")
+    assert time.perf_counter() - began < 4
+
+
 def test_blocks_and_references():
     p = page("<h1>A &amp; B &eacute;</h1><p>x\n  y&nbsp;<b>bold</b>er <a href='q'>link</a>\t.<p>open <i>two<br>three<ul><li>one<li>two</ul>")
     assert html_text.main_text(p) == "A & B é\nx y bolder link .\nopen two three\none\ntwo"

@@ -4,20 +4,29 @@ Every element has C characters, T tags, LC characters and LT tags in links.  Its
 is C / T, lowered for links: C / T * log(C / LC * T / LT) to the base
 ln(C / (C - LC) * LC + LCb / Cb * C + e), with 1 for a zero count and b for the body.
 An element's density sum is that of its children.  The element with the greatest sum is
-the main part.  The least density on its path from the body is the threshold: elements
-outside it belong to the text too if their density reaches the threshold and their sum
-a set share (``SHARE``) of the greatest one.  An enclosing article is taken whole.
-Elements that are boilerplate by name (scripts, forms, menus, asides, ...) or by a word
-of their class, id or role never count.
-
-A page is parsed and measured alone, in time linear in its length, so pages need no
-shuffle.  Defined cases: null html is the empty page; empty pages and those with
-boilerplate only give the empty text; markup cut off at the end is dropped; repeated
-rows are extracted each; an empty table gives no rows; other columns are ignored.
+the main part.  The least density on its path from the body is the threshold: where the
+main part is in no article, elements outside it belong to the text too if their density
+reaches the threshold and their sum a set share (``SHARE``) of the greatest one.
+
+Of an article that holds the main part all is taken, of a ``main`` element all but blocks
+of links; else the last first-level heading before the main part belongs to it.  What
+the page itself marks as something else never counts: elements for menus, forms, scripts,
+footers, asides and the like, headers (but for those with a heading, inside another element
+than the body and without a menu or form), classes, ids and roles that say so (``STRONG`` words at the
+start or end of a name, ``WHOLE`` names, ``OUTSIDE`` names unless inside an article), and,
+outside articles, what follows a heading like "Comments" in its element.
+
+A page is parsed and measured alone, in time linear in its length (each name keeps the
+places of its open elements), so pages need no shuffle.  Defined cases: null html is
+the empty page; empty pages and those with boilerplate only give the empty text; markup cut
+off at the end is dropped; after a quote in a tag that never ends, quotes are ignored;
+repeated rows are extracted each; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -26,105 +35,169 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SHARE = 0.2
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)""", re.S)
+SHARE, LINKS = 0.2, 0.66
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|(?P<broken><(?=/?[a-zA-Z]))""", re.S)
+PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|(?P<broken><(?=/?[a-zA-Z]))", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-BOILERPLATE = RAW | frozenset("nav header footer aside form button select option menu dialog head svg math canvas object audio video figure map datalist fieldset label".split())
+BOILERPLATE = RAW | frozenset("nav footer aside form button select option menu dialog head svg math canvas object audio video map datalist".split())
 BLOCK = frozenset("address article aside blockquote body br_ caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td_ tfoot thead tr ul".split())
 #: What an opening tag closes before it, up to the named elements.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 CLOSES_P = BLOCK - {"body", "html", "br_", "td_", "caption", "tbody", "thead", "tfoot", "tr"}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comments?|commentlist|disqus|replies|respond|related|recommended|widget|toolbar|pagination|pager|search|skip|complementary|contentinfo|search)(?=$|[\s_-]|\d)", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+STRONG = frozenset("ad ads adv advert advertisement advertising adsense adslot sponsor sponsored sponsors promo promos sidebar sidebars menu navbar nav navigation breadcrumb breadcrumbs footer masthead cookie cookies consent newsletter subscribe subscription signup login popup modal comment comments commentlist disqus pagination pager banner contentinfo complementary".split())
+WHOLE = frozenset("header site-header page-header top-header main-header notice site-notice page-notice notices share sharing share-buttons share-bar share-links share-tools social social-share social-links social-media related related-posts related-articles related-links related-content recommended recommended-posts recommendations replies respond skip-link skip-links search-form search-box search-bar site-search dialog alertdialog".split())
+OUTSIDE = frozenset("alert notification search side toolbar widget widgets".split())
+COMMENTS = re.compile(r"(?:\d+\s+|reader\s+|leave\s+a\s+)?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)\W*\d*\W*", re.I)
 
 
-def noise(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
-        return True
-    if not attributes or name in ("body", "html", "article", "main"):
-        return False
+@functools.lru_cache(maxsize=50_000)
+def said(attributes: str) -> int:
+    """What a tag's attributes say of it: 0 nothing, 1 boilerplate, 2 boilerplate unless in an article."""
+    found = 0
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key in ("class", "id", "role") and NOISE.search(value):
-            return True
-    return False
+            return 1
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+                whole = "-".join(words)
+                if words and (words[0] in STRONG or words[-1] in STRONG or whole in WHOLE):
+                    return 1
+                if whole in OUTSIDE:
+                    found = 2
+    return found
 
 
 class Page:
-    """Elements in page order: parent, name, boilerplate or not; texts with their element."""
+    """Elements in page order: parent, name and what marks them; texts with their element."""
 
     def __init__(self, source: str) -> None:
-        self.parent, self.name, self.bad = [-1], ["#root"], [False]
+        self.parent, self.name, self.said = [-1], ["#root"], [0]
         self.parts: list[tuple[int, str]] = []  # (element, text); an empty text ends a block
-        open_, at, n = [0], 0, len(source)
-        add = self.parts.append
-        lower = None
+        self.open, self.places, self.solid = [0], {}, [0]  # open elements; by name, and of those that aren't inline, their places there
+        at, n, token = 0, len(source), TOKEN
+        add, lower, seen = self.parts.append, None, set()
         while at < n:
-            m = TOKEN.search(source, at)
+            m = token.search(source, at)
             if not m:
-                add((open_[-1], source[at:]))
+                add((self.open[-1], source[at:]))
                 break
             if m.start() > at:
-                add((open_[-1], source[at : m.start()]))
+                add((self.open[-1], source[at : m.start()]))
+            if m["broken"]:
+                at = m.start()
+                if token is PLAIN:  # no tag ends after this
+                    break
+                token = PLAIN
+                continue
             at = m.end()
-            name = m[2]
-            if name is None:
+            if m[2] is None:
                 continue
-            name = name.lower()
+            name = m[2].lower()
             if m[1]:
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.name[open_[k]] == name:
-                        if name in BLOCK:
-                            add((open_[k], ""))
-                        del open_[k:]
-                        break
-                    if name in INLINE and self.name[open_[k]] not in INLINE:
-                        break
+                self.end(name)
                 continue
             if name in CLOSES_P:
-                self.close(open_, {"p"}, {"button", "table", "td", "th"}, add)
+                self.close(("p",), ("button", "table", "td", "th"))
             if name in CLOSES:
-                self.close(open_, *CLOSES[name], add)
+                self.close(*CLOSES[name])
             if name in BLOCK:
-                add((open_[-1], ""))
-            if name == "br" or name in ("td", "th"):
-                add((open_[-1], " "))
+                add((self.open[-1], ""))
+            if name in ("br", "td", "th"):
+                add((self.open[-1], " "))
             if name in VOID:
                 continue
-            if name == "body" and "body" in self.name or name == "html" and "html" in self.name:
-                continue
-            self.parent.append(open_[-1])
+            if name in ("body", "html"):
+                if name in seen:
+                    continue
+                seen.add(name)
+            self.parent.append(self.open[-1])
             self.name.append(name)
-            self.bad.append(self.bad[open_[-1]] or noise(name, m[3]))
+            self.said.append(1 if name in BOILERPLATE else said(m[3]) if m[3] and name not in ("body", "html", "article", "main") else 1 if name == "article" and said(m[3]) == 1 else 0)
             if m[3].endswith("/") and name in ("svg", "path"):
                 continue
-            open_.append(len(self.name) - 1)
+            self.places.setdefault(name, []).append(len(self.open))
+            if name not in INLINE:
+                self.solid.append(len(self.open))
+            self.open.append(len(self.name) - 1)
             if name in RAW:
                 lower = source.lower() if lower is None else lower
                 end = lower.find(f"</{name}", at) if len(lower) == n else source.find(f"</{name}", at)
                 at = n if end < 0 else end
 
-    def close(self, open_: list[int], names: set[str], stops: set[str], add) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if self.name[open_[k]] in stops:
-                return
-            if self.name[open_[k]] in names:
-                add((open_[k], ""))
-                del open_[k:]
-                return
+    def last(self, names: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these names, or -1."""
+        return max((self.places[k][-1] for k in names if self.places.get(k)), default=-1)
+
+    def cut(self, place: int) -> None:
+        while len(self.open) > place:
+            name = self.name[self.open.pop()]
+            self.places[name].pop()
+            if name not in INLINE:
+                self.solid.pop()
+
+    def end(self, name: str) -> None:
+        place = self.last((name,))
+        if place < 0 or name in INLINE and place < self.solid[-1]:
+            return
+        if name in BLOCK:
+            self.parts.append((self.open[place], ""))
+        self.cut(place)
+
+    def close(self, names: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        place = self.last(names)
+        if place > self.last(stops):
+            self.parts.append((self.open[place], ""))
+            self.cut(place)
+
+    def marked(self) -> list[bool]:
+        """For each element, whether it or one around it is boilerplate."""
+        parent, name, n = self.parent, self.name, len(self.parent)
+        heading, menu, article = [False] * n, [False] * n, [False] * n
+        for k in range(1, n):
+            article[k] = article[parent[k]] or name[k] == "article"
+        for k in range(n - 1, 0, -1):
+            heading[parent[k]] |= heading[k] or name[k] in HEADINGS
+            menu[parent[k]] |= menu[k] or name[k] in ("nav", "form")
+        bad = [False] * n
+        for k in range(1, n):
+            own = self.said[k] == 1 or self.said[k] == 2 and not article[k]
+            if name[k] == "header":
+                own |= not heading[k] or menu[k] or name[parent[k]] in ("body", "html", "#root")
+            bad[k] = bad[parent[k]] or own
+        # outside articles, a heading like "Comments" ends what belongs to the page's author in its element
+        words: dict[int, list[str]] = {}
+        for k, text in self.parts:
+            while k > 0 and name[k] in INLINE:
+                k = parent[k]
+            if text and name[k] in HEADINGS and not article[k] and not bad[k]:
+                words.setdefault(k, []).append(text)
+        ended: dict[int, int] = {}
+        for k, texts in words.items():
+            if COMMENTS.fullmatch(" ".join(html.unescape("".join(texts)).split())):
+                ended.setdefault(parent[k], k)
+        if ended:
+            for k in range(1, n):
+                bad[k] |= bad[parent[k]] or k >= ended.get(parent[k], n)
+        self.inside = article
+        return bad
 
     def chosen(self) -> list[bool]:
         """For each element, whether its text belongs to the main text."""
-        parent, name, bad = self.parent, self.name, self.bad
+        parent, name, bad = self.parent, self.name, self.marked()
         n = len(parent)
         c, t, lc, lt = [0] * n, [1] * n, [0] * n, [0] * n
-        link = [False] * n
+        link, around = [False] * n, [0] * n  # around: the innermost article or main element, or 0
         for k in range(1, n):
             link[k] = link[parent[k]] or name[k] == "a"
+            around[k] = k if name[k] in ("article", "main") else around[parent[k]]
+            if name[k] == "main" and around[parent[k]] and name[around[parent[k]]] == "article":
+                around[k] = around[parent[k]]
             lt[k] = link[k] and 1
             if bad[k]:
                 t[k] = lt[k] = 0
@@ -156,14 +229,22 @@ class Page:
             k = parent[k]
             threshold = min(threshold, density[k])
         mark = [False] * n
+        in_article = name[around[top]] == "article"
+        for k in range(n):
+            if k == top or not bad[k] and density[k] >= threshold and sums[k] >= SHARE * sums[top] > 0 and k not in (0, body) and name[k] != "html" and (not in_article or self.inside[k]):
+                mark[around[k] or k] = True
         for k in range(n):
-            if k == top or not bad[k] and density[k] >= threshold and sums[k] >= SHARE * sums[top] > 0 and k not in (0, body) and name[k] != "html":
-                a = k
-                while a > 0 and name[a] not in ("article", "main"):
-                    a = parent[a]
-                mark[a if a > 0 else k] = True
+            if mark[k] and name[k] == "main":
+                for j in range(k + 1, n):  # blocks of links
+                    if parent[j] == k and c[j] and lc[j] > LINKS * c[j]:
+                        bad[j] = True
         for k in range(1, n):
+            bad[k] |= bad[parent[k]]
             mark[k] = (mark[k] or mark[parent[k]]) and not bad[k]
+        if not around[top] and not any(mark[k] and name[k] == "h1" for k in range(n)):
+            title = max((k for k in range(1, top) if name[k] == "h1" and not bad[k]), default=0)
+            for k in range(title, n if title else 0):
+                mark[k] |= k == title or k > title and mark[parent[k]] and not bad[k]
         return mark
 
     def text(self) -> str:
