@@ -14,9 +14,7 @@ BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pa
 
 @functools.cache
 def tokenizer(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def ids_of(path, text, end):
@@ -33,7 +31,7 @@ def test_segments_keep_ids(spark, sf):
     from tidemark.llm._ids import Encoder
 
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
-    texts += [None, "", " ", "a  b\n c \n", "x  y　 z  w", "it's  <|endoftext|> don't", "a\t\tb\x0b c", "é à  b", "́ x", "ΣΑΣ Σ", " \n\n x", "İI", "…  x", "ÿ  y", "\x1c x \x1f\n y"]
+    texts += [None, "", " ", "a  b\n c \n", "x  y　 z  w", "it's  <|endoftext|> don't", "a <|endoftext|> b", "a  <|endoftext|>  b", "x<|endoftext|>y<|endoftext|><|startoftext|>z", "<|endoftext|>", "\n<|endoftext|>\n\n<|startoftext|> \n", "<|ENDOFTEXT|> <|endof text|>", "é<|endoftext|>é", "a\t\tb\x0b c", "é à  b", "́ x", "ΣΑΣ Σ", " \n\n x", "İI", "…  x", "ÿ  y", "\x1c x \x1f\n y"]
     for path, joins in ((BYTES, True), (WORDS, False)):
         ids, at = Encoder(path, joins).encode(pa.array(texts), 9)
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(path, t, 9) for t in texts]

@@ -4,7 +4,8 @@ Texts are cut where neither vocabulary can join: before white space that follows
 letter or sign (byte-level vocabulary: a pre-token never goes on from a non-space into
 a space), or around white space (word vocabulary: it drops white space).  A segment's
 ids don't depend on its neighbours, so the ids of a text are those of its segments one
-after another.  The segments of a block are made distinct by 64-bit hash and length,
+after another.  The string of a special token in a text gives that token, as the library
+does by default; it holds no white space, so it lies in one segment.  The segments of a block are made distinct by 64-bit hash and length,
 looked up in a table that the worker keeps, and only unknown ones are encoded.  The
 table is bounded by ``KEEP`` segments.
 """
@@ -29,7 +30,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens with white space would not lie in one segment")
         self.joins_spaces = joins_spaces
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32
         self.clear()

@@ -9,18 +9,19 @@ reads no tokens.  The first id of each shard is in a small table beside it (one
 shard), so a document's global start is one addition and no id is written twice.
 
 Defined cases: null text is the empty text; null doc_ids come first; repeated doc_ids
-stay in text order; an empty table gives empty files; other columns are ignored.
+stay in text order; a very long text is tokenised whole, in a block of its own; an empty
+table gives empty files; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import _bytes as B
@@ -28,8 +29,8 @@ from tidemark.llm import _files
 from tidemark.llm.packing import digests
 
 END_ID = 0
-#: Bytes of text for one shard, and the sizes of row groups and pages.
-SHARD, ROW_GROUP, PAGE = 16 << 20, 32 << 20, 256 << 10
+#: Bytes of text for one shard, and the sizes of row groups and pages; beyond SHARDS shards, these grow instead.
+SHARD, ROW_GROUP, PAGE, SHARDS = 16 << 20, 32 << 20, 256 << 10, 100_000
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, joins_spaces: bool = True, shards: int | None = None) -> None:
@@ -38,7 +39,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, join
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if shards is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, -(-size // SHARD), min(spark.sparkContext.defaultParallelism, size >> 20))
+        shards = min(SHARDS, max(1, -(-size // SHARD), min(spark.sparkContext.defaultParallelism, size >> 20)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,19 +54,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, join
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(np.full(n, shard, np.int32)), pa.array(done + at[:-1]), pa.array(np.diff(at)), tokens], ["doc_id", "shard", "local_start", "n_tokens", "tokens"])
                 done += int(at[-1])
 
-    rows = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shard int, local_start long, n_tokens long, tokens array<int>")
+    ranges = docs.repartitionByRange(shards, "doc_id", F.substring("text", 1, 64))  # a doc_id of very many rows is cut too
+    rows = ranges.sortWithinPartitions("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shard int, local_start long, n_tokens long, tokens array<int>")
     options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": 2000, "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true"}
     rows.write.options(**options).parquet(f"{path}/tokens")
-    totals = spark.read.parquet(f"{path}/tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # one row a shard
-    firsts = itertools.accumulate((r.n for r in totals), initial=0)
-    spark.createDataFrame([(r.shard, a) for r, a in zip(totals, firsts, strict=False)], "shard int, first_id long").coalesce(1).write.parquet(f"{path}/shards")
+    totals = spark.read.parquet(f"{path}/tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))  # SHARDS rows at most
+    totals.select("shard", F.coalesce(before, F.lit(0)).cast("long").alias("first_id")).coalesce(1).write.parquet(f"{path}/shards")
 
 
 def read(spark: SparkSession, path: str, tokens: bool = True) -> DataFrame:
     """Documents of a written folder: doc_id, start, n_tokens, and tokens if asked for.  Filters on doc_id reach the scan."""
     rows = spark.read.parquet(f"{path}/tokens")
     firsts = spark.read.parquet(f"{path}/shards")
-    out = rows.join(F.broadcast(firsts), "shard")  # one row a shard
+    out = rows.join(F.broadcast(firsts), "shard")  # SHARDS rows at most, about 2 MB
     return out.select("doc_id", (F.col("first_id") + F.col("local_start")).alias("start"), "n_tokens", *["tokens"] * tokens)
 
 
