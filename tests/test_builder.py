@@ -65,3 +65,27 @@ def test_halt_commits_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="partition 0 at"):
         c.query.awaitTermination()
     assert not any(x[0] == "commit" for x in log)
+
+
+def test_read_stamp(spark):
+    out = envelope.stamped(envelope.extract(spark.createDataFrame([(1, 2, "k", "t", "x")], DF), "p", "o", "k"))
+    assert out.first().read_us > 1_600_000_000_000_000 and envelope.stamped(out).columns == out.columns
+
+
+def test_order_of_offsets_halts(spark):
+    from tidemark.operators.outcomes import Halted
+
+    log = []
+    b = ConsumerBuilder("t", lambda row: None, lambda row, reason: None)
+    b.commit_sink(lambda df, n: log.append(sorted(map(tuple, df.collect()))))
+    rows = lambda *places: spark.createDataFrame([(p, o, "k") for p, o in places], "partition int, offset long, key string")
+    b.batch(rows((0, 5), (0, 9), (1, 0)), 0)
+    for bad in (((0, 9),), ((0, 3), (0, 10)), ((1, -1),), ((0, 10), (0, 10))):
+        with pytest.raises(Halted):
+            b.batch(rows(*bad), 1)
+    b.batch(rows((0, 10), (2, 7)), 1)
+    b.reset(0)
+    b.batch(rows((0, 4)), 2)
+    assert log == [[(0, 9), (1, 0)], [(0, 10), (2, 7)], [(0, 4)]]
+    with pytest.raises(Exception, match="foreign topic: u"):
+        b.batch(rows((0, 11)).withColumn("topic", F.lit("u")), 3)

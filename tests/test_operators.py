@@ -50,6 +50,40 @@ def test_scan_is_the_same_for_any_block(spark, size):
             assert (w.s, w.m, w.n, w.b, w.x, w.p) == (sum(upto), max(upto, default=None), min(upto, default=None), sum(before), max(before, default=None), rows[k - 1][0] if k else None)
 
 
+@pytest.mark.parametrize("size", [3, 1000])
+def test_queue_is_the_same_for_any_block(spark, size):
+    r = random.Random(size)
+    data = [(r.choice("ab"), k, r.randint(0, 90), r.randint(0, 9)) for k in r.sample(range(200), 80)]
+    df = spark.createDataFrame(data, "g string, o long, at long, takes long")
+    got = {(x.g, x.o): x._finish for x in scan.queued(df, ["g"], ["o"], scan.blocks("o", size), F.col("at"), F.col("takes")).collect()}
+    done = {}
+    for g, o, at, takes in sorted(data):
+        done[g] = max(done.get(g, at), at) + takes
+        assert got[g, o] == done[g]
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_nested_prefixes_read_little(spark, sf):
+    """A prefix uses its input twice; running values of a chain that need no new order share one."""
+    from tidemark.plans import queries as Q
+
+    most = {"service_times": 2, "efficiency": 2, "watermark_advance": 4, "commit_ticks": 4, "queue_depth": 4, "active_keys_sweep": 8}
+    assert {n: scans(Q.QUERIES[n](spark, sf)) for n in most} == most
+
+
+def test_flushes_and_description(spark):
+    from tidemark.operators import bandwidth
+
+    df = spark.createDataFrame([(k, (k // 120) * 60_000_000) for k in range(300)], "offset long, read_us long")
+    (r,) = bandwidth.aggregated(df, "read_us", "offset", F.col("first") == 50).collect()
+    assert (r.hour, r.n_flushes, r.flushed, r.dropped) == (0, 8, 250, 50)
+    commits = spark.createDataFrame([(7, 1, 20), (7, 0, 10), (8, 10, 3), (8, 2, 4)], "tick long, partition int, offset long")
+    assert {x.tick: x.commits for x in watermark.described(commits).collect()} == {7: "[p0:10 p1:20]", 8: "[p2:4 p10:3]"}
+
+
 def test_validation(spark):
     arrivals = [(0, 5), (0, 6), (0, 9), (0, 9), (0, 7), (0, -3), (0, 10), (1, -1), (1, 0)]
     df = spark.createDataFrame([(p, o, k) for k, (p, o) in enumerate(arrivals)], "partition int, offset long, arrival long")

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import scan
+
+FLUSH_US, BUFFER = 60_000_000, 50
+
 
 def received(rows: DataFrame, payload: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("received_messages"), F.sum(F.octet_length(payload)).alias("received_bytes"))
 
 
 def flushes(packets: DataFrame, tick: str, order: str, most: int) -> DataFrame:
-    """Batches of a buffer that is flushed at ``most`` packets and at each tick: (tick, flush, n_packets)."""
-    k = F.row_number().over(W.partitionBy(tick).orderBy(order))
-    return packets.withColumn("flush", F.floor((k - 1) / most).cast("long")).groupBy(tick, "flush").agg(F.count("*").alias("n_packets"))
+    """Batches of a buffer that is flushed at ``most`` packets and at each tick: (tick, flush, n_packets, first)."""
+    numbered = scan.prefix(packets, [tick], [order], scan.blocks(order), _k=("sum_before", F.lit(1)))
+    batches = numbered.withColumn("flush", F.floor(F.col("_k") / most).cast("long")).groupBy(tick, "flush")
+    return batches.agg(F.count("*").alias("n_packets"), F.min(order).alias("first"))
+
+
+def aggregated(packets: DataFrame, at_us: str, order: str, failed: Column, every_us: int = FLUSH_US, most: int = BUFFER) -> DataFrame:
+    """Flushes every minute or at 50 packets, by hour: n_flushes, and the packets flushed and dropped; failed: of a batch whose sink fails."""
+    batches = flushes(packets.withColumn("tick", F.floor(F.col(at_us) / every_us).cast("long")), "tick", order, most)
+    hour = F.floor(F.col("tick") * every_us / 3_600_000_000).cast("long").alias("hour")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n_packets"))), F.lit(0))
+    return batches.groupBy(hour).agg(F.count("*").alias("n_flushes"), total(~failed).alias("flushed"), total(failed).alias("dropped"))
 
 
 def packets(rows: DataFrame, payload: str, tick: str, **labels: str) -> DataFrame:

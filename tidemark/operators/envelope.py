@@ -27,6 +27,11 @@ def guard(events: DataFrame, topic: str) -> DataFrame:
     return events.where(F.when(fine, F.lit(True)).otherwise(wrong))
 
 
+def stamped(enveloped: DataFrame) -> DataFrame:
+    """read_us, the time at which the batch was read, where the source gives none."""
+    return enveloped if "read_us" in enveloped.columns else enveloped.withColumn("read_us", F.unix_micros(F.current_timestamp()))
+
+
 def metrics(completions: DataFrame) -> DataFrame:
     """Metrics rows: by rule without key, context and payload; the user's traits are added to the engine's."""
     own = F.col("custom_traits") if "custom_traits" in completions.columns else F.lit(0)

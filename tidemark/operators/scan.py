@@ -47,3 +47,20 @@ def prefix(df: DataFrame, group: list[str], order: list[str], block: Column, **w
             out[name] = {"max": F.greatest, "min": F.least}[base](f"_{name}", f"_c_{name}")
     sums = df.groupBy(*group, "_block").agg(*totals).withColumns(carried).select(*group, "_block", *carried)
     return df.withColumns(own).join(sums, [*group, "_block"]).withColumns(out).drop("_block", *own, *carried)
+
+
+def queued(df: DataFrame, group: list[str], order: list[str], block: Column, arrives: Column, takes: Column) -> DataFrame:
+    """df with _finish: when each row of a group, served one after another in order, is done.
+
+    That is C + max(arrives - C before) over the rows up to this one, C being the running sum of takes.  Both
+    running values come from one pass over a block, and of a block's totals the sum shifts the maxima after it.
+    """
+    upto = W.partitionBy(*group, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumn("_block", block).withColumn("_takes", takes).withColumn("_s", F.sum("_takes").over(upto))
+    df = df.withColumn("_m", F.max(arrives - F.col("_s") + F.col("_takes")).over(upto))
+    totals = df.groupBy(*group, "_block").agg(F.sum("_takes").alias("_t"), F.max("_m").alias("_most"))
+    totals = totals.withColumn("_c", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
+    totals = totals.withColumn("_e", F.max(F.col("_most") - F.col("_c")).over(earlier)).drop("_t", "_most")
+    finish = F.col("_c") + F.col("_s") + F.greatest("_e", F.col("_m") - F.col("_c"))
+    return df.join(totals, [*group, "_block"]).withColumn("_finish", finish).drop("_block", "_takes", "_s", "_m", "_c", "_e")

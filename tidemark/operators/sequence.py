@@ -24,14 +24,14 @@ def validate(rows: DataFrame, arrival: str, block: Column | None = None) -> Data
     return rows.withColumn("is_first", ok & seen.isNull()).withColumn("prev_offset", F.when(ok, F.coalesce(seen, o - 1))).drop("_seen")
 
 
-def predecessors(m: DataFrame, block: int = scan.BLOCK) -> DataFrame:
-    """prev_offset and is_first of an already ordered stream."""
-    m = scan.prefix(m, ["partition"], ["offset"], scan.blocks("offset", block), _p=("last_before", F.col("offset")))
+def predecessors(m: DataFrame, block: int = scan.BLOCK, epoch: str | None = None) -> DataFrame:
+    """prev_offset and is_first of an already ordered stream; a new epoch of a partition forgets what came before."""
+    m = scan.prefix(m, ["partition", *[epoch] * (epoch is not None)], ["offset"], scan.blocks("offset", block), _p=("last_before", F.col("offset")))
     return m.withColumn("is_first", F.col("_p").isNull()).withColumn("prev_offset", F.coalesce("_p", F.col("offset") - 1)).drop("_p")
 
 
 def sharded(m: DataFrame, shards: int) -> DataFrame:
-    """The shard of each message's key.  Each key is hashed once a partition of the input, then joined by AQE's choice."""
+    """The shard of each message's key, hashed row by row in the JVM: cheaper than a shuffle to hash each key once."""
     return m.withColumn("shard", shard_index("key", shards))
 
 

@@ -33,6 +33,13 @@ def commits(a: DataFrame, tick: int) -> DataFrame:
     return a.groupBy("partition", tick_of("watermark_us", tick).alias("tick")).agg(F.max("offset").alias("offset"))
 
 
+def described(commits: DataFrame) -> DataFrame:
+    """One line a tick, such as [p0:31930 p1:31738], by partition; a line is as long as a tick's partitions."""
+    each = F.sort_array(F.collect_list(F.struct("partition", "offset")))
+    parts = F.transform(each, lambda x: F.format_string("p%d:%d", x["partition"], x["offset"]))
+    return commits.groupBy("tick").agg(F.concat(F.lit("["), F.array_join(parts, " "), F.lit("]")).alias("commits"))
+
+
 def repaired(state: DataFrame, gap: DataFrame) -> DataFrame:
     """The successor that a stalled partition takes: the lowest g >= baseline with g = baseline or 0 <= prev(g) <= last.
 

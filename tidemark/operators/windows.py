@@ -37,6 +37,14 @@ def rollup(stats: DataFrame, width: int, *keys: str) -> DataFrame:
     return w.join(total, list(keys)).withColumn("avg_process_us", average("sum_process_us")).withColumn("avg_e2e_us", average("sum_e2e_us"))
 
 
+def listed(stats: DataFrame, width: int, bucket_us: int, *keys: str) -> DataFrame:
+    """The last ``width`` buckets of each key, newest first (position 0), with the times they run from and to (whole milliseconds)."""
+    newest = stats.groupBy(*keys).agg(F.max("bucket").alias("_newest"))
+    at = F.col("bucket") * bucket_us
+    rows = window(stats, width, *keys).join(newest, list(keys))
+    return rows.select(*keys, (F.col("_newest") - F.col("bucket")).cast("long").alias("position"), at.alias("from_us"), (at + (bucket_us - 1000)).alias("to_us"), F.col("n").alias("processed"), F.col("n_dead_letters").alias("dead_letters"))
+
+
 def busy_periods(served: DataFrame) -> DataFrame:
     """(key, from_us, to_us) of the times in which a key's lane isn't empty."""
     s = scan.prefix(served, ["key"], ["offset"], scan.blocks("offset"), _run=("sum", F.when(F.col("start_us") == F.col("read_us"), 1).otherwise(0)))
@@ -45,16 +53,16 @@ def busy_periods(served: DataFrame) -> DataFrame:
 
 def sweep(periods: DataFrame, block: int) -> DataFrame:
     """(at_us, active): the number of open periods after each change, by a running sum over blocks of time; ends go before starts."""
-    changes = periods.select(F.col("from_us").alias("at_us"), F.lit(1).alias("step")).union(periods.select("to_us", F.lit(-1)))
-    changes = changes.groupBy("at_us").agg(F.sum("step").alias("step")).withColumn("_all", F.lit(0))
+    ends = F.array(F.struct(F.col("from_us").alias("at_us"), F.lit(1).alias("step")), F.struct(F.col("to_us").alias("at_us"), F.lit(-1).alias("step")))
+    changes = periods.select(F.inline(ends)).groupBy("at_us").agg(F.sum("step").alias("step")).withColumn("_all", F.lit(0))
     return scan.prefix(changes, ["_all"], ["at_us"], scan.blocks("at_us", block), active=("sum", F.col("step"))).select("at_us", "active")
 
 
-def queue_depths(served: DataFrame) -> DataFrame:
+def queue_depths(served: DataFrame, block: int = 86_400_000_000) -> DataFrame:
     """Messages of the same key that wait (not yet started) when a message arrives, without itself."""
-    arrivals = served.select("key", F.col("read_us").alias("t"), F.lit(1).alias("kind"), "offset", "partition")
-    starts = served.select("key", F.col("start_us").alias("t"), F.lit(0).alias("kind"), "offset", "partition")
-    both = scan.prefix(arrivals.union(starts), ["key"], ["t", "kind", "offset"], scan.blocks("t", 30 * 86_400_000_000), _started=("sum", F.lit(1) - F.col("kind")), _arrived=("sum_before", F.col("kind")))
+    times = F.array(F.struct(F.col("read_us").alias("t"), F.lit(1).alias("kind")), F.struct(F.col("start_us").alias("t"), F.lit(0).alias("kind")))
+    both = served.select("key", "offset", "partition", F.inline(times))
+    both = scan.prefix(both, ["key"], ["t", "kind", "offset"], scan.blocks("t", block), _started=("sum", F.lit(1) - F.col("kind")), _arrived=("sum_before", F.col("kind")))
     return both.where("kind = 1").select("partition", "offset", "key", (F.col("_arrived") - F.least("_started", "_arrived")).alias("queue_depth"))
 
 

@@ -44,10 +44,8 @@ def served(m: DataFrame, block: int = scan.BLOCK) -> DataFrame:
 
     finish = C + max over earlier (read - C before), C the running sum of service times.
     """
-    place = scan.blocks("offset", block)
-    m = scan.prefix(m, ["key"], ["offset"], place, _c=("sum", F.col("process_us")))
-    m = scan.prefix(m, ["key"], ["offset"], place, _m=("max", F.col("read_us") - (F.col("_c") - F.col("process_us"))))
-    return m.withColumn("finish_us", F.col("_c") + F.col("_m")).withColumn("start_us", F.col("finish_us") - F.col("process_us")).drop("_c", "_m")
+    m = scan.queued(m, ["key"], ["offset"], scan.blocks("offset", block), F.col("read_us"), F.col("process_us"))
+    return m.withColumnRenamed("_finish", "finish_us").withColumn("start_us", F.col("finish_us") - F.col("process_us"))
 
 
 def advanced(m: DataFrame, block: int = scan.BLOCK) -> DataFrame:

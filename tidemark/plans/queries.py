@@ -78,6 +78,15 @@ def prev_offset_chain(spark, sf_dir):
     return sequence.predecessors(M.messages(spark, sf_dir).select("partition", "offset"))
 
 
+@query(f"""WITH {MESSAGES}, o AS (SELECT "partition", "offset", ((read_us // {M.DAY} + "partition") // 7)::BIGINT AS epoch FROM m WHERE (read_us // {M.DAY} + "partition") % 7 <> 0)
+SELECT "partition", "offset", epoch, coalesce(lag("offset") OVER w, "offset" - 1) AS prev_offset, lag("offset") OVER w IS NULL AS is_first FROM o WINDOW w AS (PARTITION BY "partition", epoch ORDER BY "offset")""")
+def predecessor_reset(spark, sf_dir):
+    """Predecessors of owned messages; each assignment starts anew."""
+    day = F.floor(F.col("read_us") / M.DAY) + F.col("partition")
+    m = M.messages(spark, sf_dir).where(day % 7 != 0).select("partition", "offset", F.floor(day / 7).cast("long").alias("epoch"))
+    return sequence.predecessors(m, epoch="epoch")
+
+
 @query(f"""WITH {MESSAGES}, p AS (SELECT "partition", "offset", lag("offset") OVER (PARTITION BY "partition" ORDER BY "offset") AS prev FROM m)
 SELECT "partition", count(*) AS n_gaps, max("offset" - prev - 1)::BIGINT AS widest, sum("offset" - prev - 1)::BIGINT AS n_missing FROM p WHERE "offset" - prev > 1 GROUP BY "partition" """)
 def broker_gaps(spark, sf_dir):
@@ -196,6 +205,11 @@ def commit_ticks(spark, sf_dir):
     return watermark.commits(M.advanced(M.messages(spark, sf_dir)), M.TICK)
 
 
+@query(f"""WITH {TICKS} SELECT tick, '[' || string_agg('p' || "partition" || ':' || "offset", ' ' ORDER BY "partition") || ']' AS commits FROM t GROUP BY tick""")
+def commit_description(spark, sf_dir):
+    return watermark.described(watermark.commits(M.advanced(M.messages(spark, sf_dir)), M.TICK))
+
+
 @query(f"""WITH {TICKS}, x AS (SELECT *, lag("offset") OVER (PARTITION BY "partition" ORDER BY tick) AS before FROM t)
 SELECT "partition", count(*) AS n_commits, max("offset") AS highest, count(CASE WHEN before >= "offset" THEN 1 END) AS n_not_increasing FROM x GROUP BY "partition" """)
 def commit_monotonic_check(spark, sf_dir):
@@ -279,6 +293,14 @@ def window_rollup(spark, sf_dir):
     return windows.rollup(windows.buckets(finished(spark, sf_dir), hour("finish_us"), "partition"), 15, "partition")
 
 
+@query(f"""WITH {ROLLUP}, p AS (SELECT "partition", newest, unnest(range(15)) AS position FROM nw)
+SELECT p."partition", position, (newest - position) * {M.HOUR} AS from_us, (newest - position) * {M.HOUR} + {M.HOUR - 1000} AS to_us, coalesce(n, 0) AS processed, coalesce(n_dead_letters, 0) AS dead_letters
+FROM p LEFT JOIN b ON b."partition" = p."partition" AND b.bucket = newest - position""")
+def window_list(spark, sf_dir):
+    """The last 15 hours of each partition, newest first, with their times."""
+    return windows.listed(windows.buckets(finished(spark, sf_dir), hour("finish_us"), "partition"), 15, M.HOUR, "partition")
+
+
 @query(f"""WITH {ADVANCED}, x AS (SELECT *, max(finish_us // {M.HOUR}) OVER (PARTITION BY "partition" ORDER BY "offset" ROWS UNBOUNDED PRECEDING) AS bucket, finish_us // {M.HOUR} AS own FROM a)
 SELECT "partition", bucket::BIGINT AS bucket, count(*) AS n, count(CASE WHEN own < bucket THEN 1 END) AS n_late FROM x GROUP BY 1, 2""")
 def late_to_current_bucket(spark, sf_dir):
@@ -300,17 +322,21 @@ def snapshot_rows(spark, sf_dir):
     return rows.select("partition", "committed", F.coalesce("_ready", "committed").alias("ready"), "max_offset_seen", "gap_depth", "assigned")
 
 
-@query(f"""WITH {ADVANCED}, t AS (SELECT (min(read_us) + (max(read_us) - min(read_us)) // 2)::BIGINT AS at_us FROM a),
+SNAPSHOT = f"""{ADVANCED}, t AS (SELECT (min(read_us) + (max(read_us) - min(read_us)) // 2)::BIGINT AS at_us FROM a),
 x AS (SELECT a.*, at_us FROM a, t WHERE read_us <= at_us),
 y AS (SELECT "partition", coalesce(max(CASE WHEN ((watermark_us + {M.TICK - 1}) // {M.TICK}) * {M.TICK} <= at_us THEN "offset" END), -1) AS committed, max(CASE WHEN watermark_us <= at_us THEN "offset" END) AS r,
-  max("offset") AS max_offset_seen, count(CASE WHEN finish_us <= at_us AND watermark_us > at_us THEN 1 END) AS gap_depth, bool_or((at_us // {M.DAY} + "partition") % 7 <> 0) AS assigned FROM x GROUP BY 1)
-SELECT "partition", committed, coalesce(r, committed) AS ready, max_offset_seen, gap_depth, assigned FROM y""")
+  max("offset") AS max_offset_seen, count(CASE WHEN finish_us <= at_us AND watermark_us > at_us THEN 1 END) AS gap_depth, bool_or((at_us // {M.DAY} + "partition") % 7 <> 0) AS assigned FROM x GROUP BY 1),
+z AS (SELECT "partition", committed, coalesce(r, committed) AS ready, max_offset_seen, gap_depth, assigned FROM y)"""
+
+
+@query(f"WITH {SNAPSHOT} SELECT * FROM z")
 def precommit_snapshot(spark, sf_dir):
     """State of every partition at the middle of the stream."""
     return snapshot_rows(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {SNAPSHOT} SELECT '{{"assigned":' || count(CASE WHEN assigned THEN 1 END) || ',"buffered":' || sum(gap_depth) || ',"partitions":['
+  || string_agg('{{"partition":' || "partition" || ',"committed":' || committed || ',"ready":' || ready || ',"max_offset_seen":' || max_offset_seen || ',"gap_depth":' || gap_depth || ',"assigned":' || assigned || '}}', ',' ORDER BY "partition") || ']}}' AS document FROM z""")
 def snapshot_json(spark, sf_dir):
     """The same as one JSON document; its list is as long as the stream has partitions."""
     rows = snapshot_rows(spark, sf_dir)
@@ -337,7 +363,15 @@ SELECT hour::BIGINT AS tick, ((k - 1) // 5)::BIGINT AS flush, count(*) AS n_pack
 def bandwidth_packets(spark, sf_dir):
     """Flushes of a buffer at every fifth packet or the hour's end."""
     m = M.messages(spark, sf_dir).select("offset", hour("read_us").alias("tick"))
-    return bandwidth.flushes(m, "tick", "offset", 5)
+    return bandwidth.flushes(m, "tick", "offset", 5).drop("first")
+
+
+@query(f"""WITH {MESSAGES}, x AS (SELECT "offset", read_us // 60000000 AS tick, row_number() OVER (PARTITION BY read_us // 60000000 ORDER BY "offset") AS k FROM m),
+f AS (SELECT tick, (k - 1) // 50 AS flush, count(*) AS n, min("offset") AS first FROM x GROUP BY 1, 2)
+SELECT (tick // 60)::BIGINT AS hour, count(*) AS n_flushes, coalesce(sum(CASE WHEN first % 7 <> 0 THEN n END), 0)::BIGINT AS flushed, coalesce(sum(CASE WHEN first % 7 = 0 THEN n END), 0)::BIGINT AS dropped FROM f GROUP BY 1""")
+def bandwidth_flushes(spark, sf_dir):
+    """The buffer flushed each minute or at 50 packets; the sink fails for batches that begin at every seventh offset."""
+    return bandwidth.aggregated(M.messages(spark, sf_dir).select("offset", "read_us"), "read_us", "offset", F.col("first") % 7 == 0)
 
 
 @query(f"""WITH {MESSAGES} SELECT "partition", (read_us // {M.DAY})::BIGINT AS day, count(*) AS received_messages, sum(strlen(props))::BIGINT AS received_bytes FROM m GROUP BY 1, 2""")

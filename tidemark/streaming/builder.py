@@ -32,6 +32,7 @@ class ConsumerBuilder:
         self._sinks: dict[str, Sink] = {}
         self._shutdown = None
         self._checkpoint = None
+        self._last: dict[int, int] = {}  # the last offset of each assigned partition
 
     def config(self, config: Config) -> ConsumerBuilder:
         self._config = config
@@ -75,9 +76,32 @@ class ConsumerBuilder:
         self._checkpoint = path
         return self
 
+    def reset(self, *partitions: int) -> None:
+        """Forgets the last offsets of these partitions, or of all: a new assignment may start anywhere."""
+        for p in partitions or list(self._last):
+            self._last.pop(p, None)
+
+    def _validated(self, found: DataFrame) -> dict[int, int]:
+        """The last offset of each partition after this batch, which goes in order of offsets: a repeated or negative one, or one that isn't beyond the last batch's, halts."""
+        ranges = found.groupBy("partition").agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.count("*").alias("n"), F.count_distinct("offset").alias("each"))
+        last = dict(self._last)
+        for r in ranges.collect():  # one row a partition
+            seen = last.get(r.partition)
+            wrong = "negative" if r.low < 0 else "duplicate" if r.n > r.each or seen == r.low else "regression" if seen is not None and r.low < seen else None
+            if wrong:
+                raise outcomes.Halted(f"{wrong} offset: partition {r.partition} at {r.low}, after {seen}")
+            last[r.partition] = r.high
+        return last
+
     def batch(self, rows: DataFrame, number: int) -> None:
-        """One micro-batch: dead letters are written while processing, then commits, then the sinks that may fail."""
-        found = self._extract(rows)
+        """One micro-batch: foreign topics and offsets out of order halt it, dead letters are written while processing, then commits, then the sinks that may fail.
+
+        Rows are committed only if all of the batch is processed, so its highest offsets are its contiguous watermarks.
+        """
+        if "topic" in rows.columns:
+            rows = envelope.guard(rows, self.topic)
+        found = envelope.stamped(self._extract(rows))
+        last = self._validated(found)
         if self._context:
             found = envelope.enrich(found, **self._context)
         done = outcomes.apply(sequence.lanes(found), self._process, self._dead_letter).withColumn("traits", traits()).persist()
@@ -87,6 +111,7 @@ class ConsumerBuilder:
                 raise outcomes.Halted(f"partition {halt.partition} at {halt.offset}: {halt.error}")
             if "commit" in self._sinks:
                 self._sinks["commit"](done.groupBy("partition").agg(F.max("offset").alias("offset")), number)
+            self._last = last
             self._try("metrics", lambda: envelope.metrics(done), number)
             labels = {k: F.lit(v) for k, v in self._labels.items()}
             self._try("bandwidth", lambda: done.groupBy("partition").agg(F.count("*").alias("received_messages")).withColumns(labels), number)
@@ -105,6 +130,7 @@ class ConsumerBuilder:
         trigger = trigger or {"processingTime": self._config.trigger()}
 
         def start():
+            self.reset()
             writer = stream.writeStream.foreachBatch(self.batch).queryName(self.topic)
             if self._checkpoint:
                 writer = writer.option("checkpointLocation", self._checkpoint)
