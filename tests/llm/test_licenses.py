@@ -1,4 +1,5 @@
 import collections
+import random
 
 from cases import docs, empty
 
@@ -59,3 +60,52 @@ def test_notices_over_two_lines(spark):
     rows.append((9999, "Released under the\n\nMIT License.", "en", "s"))
     got = licenses.scan(docs(spark, rows)).where("confirmed").collect()
     assert sorted((r.doc_id, r.license) for r in got) == sorted(want)
+
+
+def brute_align(template, own):
+    """Differing words of the nearest stretch, from all stretches."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    return min(distance(template, own[a:b]) for a in range(len(own) + 1) for b in range(a, len(own) + 1))
+
+
+def test_alignments_agree():
+    r = random.Random(3)
+    for _ in range(150):
+        template, own = ([r.choice("abcd") for _ in range(r.randint(1, n))] for n in (7, 12))
+        one = licenses.align(template, own)
+        assert one == licenses.align_long(template, own) and one[0] == brute_align(template, own)
+
+
+def found(text):
+    return [(x[2], x[5]) for x in licenses.both(text) if x[-1]]
+
+
+def test_license_texts():
+    import textwrap
+
+    for k, v in licenses.TEXTS.items():
+        wrapped = textwrap.fill(v, 72)
+        for text in (v, wrapped, textwrap.indent(wrapped, " * "), f"Copyright (c) 2024 A B\n\n{wrapped.replace('. ', '.' + chr(10) * 2)}\n\nmore text", f"{'word ' * 5000}\n{v}\n{'word ' * 5000}", v.lower()):
+            got = found(text)
+            assert (k, 0) in got and len(got) == 1, (k, got)
+        own = v.split()
+        assert found(" ".join(w for i, w in enumerate(own) if i % 25)) in ([(k, d)] for d in range(len(own) // 10 + 1)), k
+        assert not list(licenses.texts(" ".join(own[: len(own) * 7 // 10]))) and not [x for x in licenses.texts(" ".join(w if i % 4 else "other" for i, w in enumerate(own)))]
+    two = licenses.TEXTS["MIT"] + "\n\n" + licenses.TEXTS["BSD-3-Clause"]
+    assert sorted(found(two)) == [("BSD-3-Clause", 0), ("MIT", 0)]
+    assert sorted(found(licenses.TEXTS["ISC"] + "\nReleased under the MIT License.")) == [("ISC", 0), ("MIT", 0)]
+
+
+def test_table_against_templates(spark, sf):
+    """Without any of the scan's functions: a row for each line of the table that is a notice, letter for letter, and no other."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = collections.Counter((r.doc_id, k) for r in rows for line in (r.text or "").split("\n") for k, v in licenses.TEMPLATES.items() if line.strip().rstrip(".").lower() == v.rstrip(".").lower())
+    assert collections.Counter((r.doc_id, r.license) for r in licenses.op3_license_scan(spark, sf).collect()) == want

@@ -8,9 +8,16 @@ other words before and after the aligned stretch being free, and the winner is t
 the fewest differing words, confirmed if these are at most a share ``DIFFERENCE`` of the
 template's words.  What a confirmed notice leaves of its block is scored anew.
 Notices that run over the ends of lines are looked for around each line end, within a
-paragraph, and are rows if confirmed.  Full license texts and longer headers are no templates.  Identical blocks are scored once a worker.
+paragraph, and are rows if confirmed.  Identical blocks are scored once a worker.
 
-Defined cases: null and empty texts have no blocks; ties go to the template first in
+Whole texts of short licenses and standard headers (``TEXTS``) are looked for in stretches
+around the hints that are long enough for any of them, over line ends and paragraphs: ranked by
+the bytes that they save, aligned if they save a share ``SAVING`` of their own compressed
+size, and rows if confirmed; notices that overlap them are not rows of their own.  Texts of
+several thousand words (Apache, GPL) and the headers of the GNU licenses are no templates.
+
+Defined cases: null and empty texts have no blocks; of a very long text, only what is
+around its hints is looked at closely, in time linear in their number; ties go to the template first in
 alphabetical order; repeated rows are scanned each; an empty table gives no rows; other
 columns are ignored.
 """
@@ -21,6 +28,7 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +54,28 @@ TEMPLATES = {
     "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
     "Unlicense": "Released into the public domain under the Unlicense.",
 }
+
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+#: Whole texts of short licenses and standard headers, without the lines that name their holders.
+TEXTS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "BSD-2-Clause": f"{_CLAUSES} {_DISCLAIMER}",
+    "BSD-3-Clause": f"{_CLAUSES} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_DISCLAIMER}",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+}
 AROUND, TOP, DIFFERENCE = 150, 4, 0.1
-HINT = r"(?i)licen[cs]|copyright|public\W+domain|creative\W+commons"
+#: Characters that a license text may take (line ends, indents and comment signs are more than the template has), and the share of a template's compressed size that a block must save to be aligned.
+REACH, SAVING = int(1.5 * max(map(len, TEXTS.values()))), 0.25
+#: Some word of every template matches.
+HINT = r"(?i)licen[cs]|copyright|public\W+domain|creative\W+commons|altered\W+source|express\W+or\W+implied"
 _HINT = re.compile(HINT)
 _STOP = re.compile(r"\.(?=\s|$)")
-_NOTICE = max(map(len, TEMPLATES.values()))
+_NOTICE, _LEAST = max(map(len, TEMPLATES.values())), min(map(len, TEXTS.values())) // 2
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -72,13 +97,23 @@ def blocks(text: str | None) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
-@functools.cache
-def _tools() -> tuple:
+def _dictionaries(templates: dict[str, str]) -> tuple:
     import zstandard
 
     alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
-    given = {k: zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in TEMPLATES.items()}
-    return alone, given, {k: words(v) for k, v in TEMPLATES.items()}
+    given = {k: zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
+    return alone, given, {k: words(v) for k, v in templates.items()}
+
+
+@functools.cache
+def _tools() -> tuple:
+    return _dictionaries(TEMPLATES)
+
+
+@functools.cache
+def _text_tools() -> tuple:
+    alone, given, wordings = _dictionaries(TEXTS)
+    return alone, given, wordings, {k: len(alone.compress(v.lower().encode())) for k, v in TEXTS.items()}
 
 
 def words(text: str) -> list[str]:
@@ -97,6 +132,58 @@ def align(template: list[str], own: list[str]) -> tuple[int, int, int]:
     return min((c, at, j) for j, (c, at) in enumerate(row))
 
 
+def align_long(template: list[str], own: list[str]) -> tuple[int, int, int]:
+    """As align(), a row of words at a time: cost and first word are one number, so minima are taken of both."""
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(template))}
+    mine = np.array([numbers.get(w, -1) for w in own], np.int64)
+    at = np.arange(len(own) + 1, dtype=np.int64)
+    row, one = at.copy(), np.int64(1) << 32
+    for i, w in enumerate(template, 1):
+        new = row + one  # a word of the template is missing
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(mine == numbers[w], 0, one))
+        new[0] = i * one
+        row = np.minimum.accumulate(new - at * one) + at * one  # other words between
+    end = int(np.lexsort((at, row & (one - 1), row >> 32))[0])
+    return int(row[end] >> 32), int(row[end] & (one - 1)), end
+
+
+def _regions(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches that hold every license text with a hint in it: one for the hints of each half of REACH."""
+    last = -1
+    for m in _HINT.finditer(text):
+        if m.start() >= last:
+            last = m.start() + REACH // 2
+            yield max(0, m.start() - REACH), min(len(text), last + REACH)
+
+
+def texts(text: str | None) -> Iterator[tuple]:
+    """(place, stretch, *score) of confirmed license texts and headers, over as many lines and paragraphs as they take."""
+    text = text or ""
+    if len(text) < _LEAST:
+        return
+    alone, given, wordings, sizes = _text_tools()
+    seen: list[tuple[int, int]] = []
+    for region in _regions(text):
+        todo = [region]
+        while todo:
+            a, b = todo.pop()
+            block = text[a:b]
+            raw = block.lower().encode()
+            size = len(alone.compress(raw))
+            saved = sorted((len(c.compress(raw)) - size, k) for k, c in given.items())
+            places = [m.span() for m in _WORD.finditer(block)]
+            own = [block[x:y].lower() for x, y in places]
+            found = min(((*align_long(wordings[k], own), less, k) for less, k in saved[:TOP] if -less >= SAVING * sizes[k]), key=lambda f: (f[0] / len(wordings[f[4]]), f[4]), default=None)
+            if not found or found[0] > DIFFERENCE * len(wordings[found[4]]):
+                continue
+            differ, first, end, less, k = found
+            x, y = a + places[first][0], a + places[end - 1][1]
+            if not any(x < q and p < y for p, q in seen):
+                seen.append((x, y))
+                yield x, text[x:y], k, size, -less, differ, len(wordings[k]), True
+            todo += [(p, q) for p, q in ((a, x), (y, b)) if q - p >= _LEAST and _HINT.search(text, p, q)]
+
+
 @functools.lru_cache(maxsize=20_000)
 def _best(block: str) -> tuple[str, int, int, int, int, bool, int, int]:
     """As score(), then the aligned stretch of the block."""
@@ -152,13 +239,17 @@ def wrapped(text: str | None) -> Iterator[tuple]:
 
 
 def both(text: str | None) -> list[tuple]:
-    """notices() and wrapped(); where these overlap in confirmed ones, those with fewer differing words."""
-    rows = list(notices(text))
+    """texts(), and outside them notices() and wrapped(); where these overlap in confirmed ones, those with fewer differing words."""
+    whole = list(texts(text))
+    inside = lambda r: any(r[0] < w[0] + len(w[1]) and w[0] < r[0] + len(r[1]) for w in whole)
+    rows = [r for r in notices(text) if not inside(r)]
     for x in wrapped(text):
+        if inside(x):
+            continue
         same = [r for r in rows if r[-1] and r[0] < x[0] + len(x[1]) and x[0] < r[0] + len(r[1])]
         if all(x[5] < r[5] for r in same):
             rows = [r for r in rows if r not in same] + [x]
-    return rows
+    return rows + whole
 
 
 def scan(docs: DataFrame) -> DataFrame:
