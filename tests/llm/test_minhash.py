@@ -94,3 +94,19 @@ def test_components(spark, n):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert collections.Counter(map(tuple, minhash.op9_minhash(spark, sf).collect())) == brute(rows)
+
+
+def test_blocks_of_long_texts(spark, monkeypatch):
+    """Wide keys whose texts are long: blocks are bounded in bytes, and no link is lost."""
+    r = random.Random(21)
+    for name, value in (("WIDE", 2), ("BLOCK", 4), ("BYTES", 3000)):
+        monkeypatch.setattr(minhash, name, value)
+    monkeypatch.setattr(minhash.B, "BLOCK", 2000)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(40):
+        own = list(base)
+        for _ in range(r.choice((1, 2, 3, 5))):
+            own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(own) * (1 if i else 3), "en", "s"))
+    check(docs(spark, rows))

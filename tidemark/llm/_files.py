@@ -21,9 +21,22 @@ def shared(spark: SparkSession) -> str:
     return f"file://{where}"
 
 
+#: Paths given out by this driver, in order.
+made: list[str] = []
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df stored; the tables made for it (from number ``since`` of ``made`` on) are deleted then."""
+    out = stored(df, name)
+    remove(df.sparkSession, *(p for p in made[since:] if p != out.stored_at))
+    made[since:] = [out.stored_at]
+    return out
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -22,13 +22,14 @@ Steps, none of which lists the pairs of a group:
    out by a proof: nothing is capped.
 5. The classes of table keys with more than ``WIDE`` classes, as around a text with very
    many loose copies, aren't paired: those that such keys connect are a bunch, a bunch
-   is cut into blocks of about ``BLOCK`` texts, and for each pair of blocks one task
+   is cut into blocks of about ``BLOCK`` texts and ``BYTES`` bytes at most, and for each pair of blocks one task
    counts common shingles by an index and returns one link for any two components.
 
 Defined cases: documents without a word (null, empty or blank texts) have no shingle
 and are linked with nothing; a null doc_id is linked with nothing and kept; rows with
-the same doc_id are the same document; repeated rows have equal results; an empty
-table gives no rows; other columns are ignored.
+the same doc_id are the same document; repeated rows have equal results; very long texts
+are hashed in blocks of their own; an empty table gives no rows; other columns are ignored
+by ``link`` and kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ from tidemark.llm import _files
 from tidemark.llm.components import components
 
 T, R, PERCENT = 13, 3, 85
-WIDE, BLOCK = 16, 2048
+WIDE, BLOCK, BYTES = 16, 2048, 16 << 20
 _random = np.random.RandomState(97)
 _MULTIPLY = _random.randint(0, 1 << 62, 2 * T * R, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.randint(0, 1 << 62, 2 * T * R, dtype=np.int64).view(np.uint64)
@@ -146,7 +147,8 @@ def blocks(wide: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     bunches = components(wide.select("least", "rep"))
     reps = wide.select("rep", "label").distinct().join(bunches.select(F.col("node").alias("rep"), F.col("label").alias("bunch")), "rep")
     reps = _files.stored(reps, "bunches")
-    many = reps.groupBy("bunch").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    size = texts.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("bytes"))
+    many = reps.join(size, "rep").groupBy("bunch").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BYTES)).cast("int").alias("n"))
     placed = reps.join(many, "bunch").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     # block k is first in the pairs (k, k) ... (k, n - 1) and second in (0, k) ... (k - 1, k)
     pairs = placed.select("rep", "label", "bunch", "k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select("rep", "label", "bunch", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k")
@@ -160,7 +162,8 @@ def blocks(wide: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         numbers = {x: n for n, x in enumerate(dict.fromkeys(label))}
         label_of = np.array([numbers[x] for x in label])
         first = np.array(group.column("k").to_pylist()) == i
-        found, owner = shingles(*B.column(group.column("text")))
+        parts = [(at, *shingles(data, offsets)) for at, data, offsets in B.blocks(group.column("text"))]
+        found, owner = np.concatenate([h for _, h, _ in parts]), np.concatenate([at + o for at, _, o in parts])
         size = np.bincount(owner, minlength=len(rep))
         starts = np.cumsum(size) - size
         second = np.flatnonzero(~first if i != j else first)

@@ -8,7 +8,9 @@ if a hash of its doc_id and the seed, as a number in [0, 1), is below the fracti
 
 Defined cases: null text has size 0; a null source is a source of its own, last; equal
 doc_ids draw alike; a source of size 0 has target 0, and its documents are taken once
-(they hold no words); an empty table gives no rows.  Other columns are kept by ``copies``.
+(they hold no words); an empty table gives no rows.  Texts of any length are counted whole.
+``copies`` keeps other columns whatever their names; ``mix`` adds mix_size, mix_source_size,
+mix_target and mix_copies in place of columns of these names.
 """
 
 from __future__ import annotations
@@ -58,8 +60,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 
 def copies(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as the mix takes it, with the columns of docs."""
-    many = mix(docs, **how).where("mix_copies > 0")
-    return many.withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)]  # whatever their names
+    many = mix(docs.select(*own, "doc_id", "source", "text"), **how).where("mix_copies > 0")
+    each = many.withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)")))
+    return each.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

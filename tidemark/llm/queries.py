@@ -17,4 +17,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.SQL, "op9_minhash": minhash.SQL}
+    return {"op4_chat_format": chat.SQL, "op7_mixing": mixing.SQL, "op9_minhash": minhash.SQL, "op10_repeated_passages": repeats.SQL}

@@ -419,3 +419,28 @@ def clean(docs: DataFrame) -> DataFrame:
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH docs AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), chunks AS (
+  SELECT doc_id, n, k, substr(x, 512 * k + 1, 710) AS chunk FROM (SELECT *, unnest(range(0, n // 256 + 1)) AS k FROM docs)
+), windows AS (
+  SELECT doc_id, 256 * k + i AS p, substr(chunk, 2 * i + 1, 200) AS w FROM (SELECT *, unnest(range(0, greatest(0, least(256, n - 99 - 256 * k)))) AS i FROM chunks)
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS r FROM windows) WHERE r > 1
+), marked AS (
+  SELECT doc_id, p, coalesce(p > lag(p) OVER w + 100, true) AS head FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT doc_id, p, count(CASE WHEN head THEN 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM marked) GROUP BY doc_id, s
+), befores AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans
+), lost AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(any_x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS kept
+  FROM (SELECT befores.*, docs.x AS any_x FROM befores JOIN docs USING (doc_id)) GROUP BY doc_id
+)
+SELECT docs.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN lost ON docs.doc_id = lost.doc_id
+"""
