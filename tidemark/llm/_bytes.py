@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,30 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def turn() -> None:
     """For operators that keep nothing in a worker: what another operator left there goes back to the system."""
-    if kept:
-        while kept:
-            kept.pop().clear()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+    while kept:
+        kept.pop().clear()
+    trim()
+
+
+def trim() -> None:
+    """What a task has freed goes back to the system: an idle worker would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable, turns: bool = True) -> Callable:
+    """run, a function over a task's batches, with a turn() before it (but for operators that keep something) and a trim() after it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if turns:
+            turn()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -75,7 +75,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        B.turn()
         for batch in batches:
             for at, data, offsets in B.blocks(batch.column("text")):
                 n = len(offsets) - 1
@@ -98,7 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 2 * T, pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), pa.array(many.astype(np.int64)), *(pa.array(s.view(np.int64), mask=none) for s in sums), lists], ["doc_id", "n_shingles", "f1", "f2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(B.tidy(run), f"doc_id {kind}, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -109,7 +108,6 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        B.turn()
         for batch in batches:
             size = B.column(batch.column("text_a"))[1] + B.column(batch.column("text_b"))[1]
             first, n = 0, batch.num_rows
@@ -126,20 +124,19 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common.astype(np.int64)), pa.array(union.astype(np.int64))], ["a", "b", "common", "whole"])
                 first = last
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}, common long, whole long")
+    return both.mapInArrow(B.tidy(run), f"a {kind}, b {kind}, common long, whole long")
 
 
 def shingled(texts: DataFrame) -> DataFrame:
     """A row (doc_id, h) for each distinct shingle of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        B.turn()
         for batch in batches:
             for at, data, offsets in B.blocks(batch.column("text")):
                 found, owner = shingles(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at + owner)), pa.array(found.view(np.int64))], ["doc_id", "h"])
 
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long")
+    return texts.mapInArrow(B.tidy(run), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long")
 
 
 def blocks(wide: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

@@ -116,7 +116,6 @@ def statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     carry = carry or ["doc_id", "lang", "source"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        B.turn()
         for batch in batches:
             c = count(batch.column("q"))
             x = vector(c)
@@ -127,7 +126,7 @@ def statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
     fields = [docs.schema[c] for c in carry]
     q = T.StructType([T.StructField(k, T.LongType()) for k in COUNTS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("q")).mapInArrow(run, T.StructType([*fields, T.StructField("q", q)]))
+    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("q")).mapInArrow(B.tidy(run), T.StructType([*fields, T.StructField("q", q)]))
 
 
 def chi_square(p: float, d: int) -> float:

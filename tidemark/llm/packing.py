@@ -84,7 +84,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
                     yield made((rows[0].slice(a, 1 << bit), *(x[a : a + (1 << bit)] for x in rows[1:])), np.full(1 << bit, used), k * size, size)
                     used, a = used + 1, a + (1 << bit)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(B.tidy(run, False), schema)
 
 
 def digests(pieces: DataFrame, column: str = "ids") -> DataFrame:
@@ -100,7 +100,7 @@ def digests(pieces: DataFrame, column: str = "ids") -> DataFrame:
             sums = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sums, pa.int64())], [*names, "ids_crc32"])
 
-    return pieces.mapInArrow(run, schema)
+    return pieces.mapInArrow(B.tidy(run, False), schema)
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,7 +160,6 @@ def candidates(named: DataFrame, buckets: int) -> DataFrame:
     """Places that are covered whole (h null), and stretches to be compared."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        B.turn()
         held, size, count = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -207,7 +206,7 @@ def candidates(named: DataFrame, buckets: int) -> DataFrame:
         covered, new, kinds_of_h = _repeats(c)
         return pa.Table.from_batches([_table(np.concatenate([c[covered], join(1)]), False), _table(np.concatenate([c[new & (kinds_of_h > 1)], join(2)]), True)])
 
-    cells = named.select("d", "v", "bytes").mapInArrow(scan, "bucket int, kind int, cell binary")
+    cells = named.select("d", "v", "bytes").mapInArrow(B.tidy(scan), "bucket int, kind int, cell binary")
     return cells.groupBy("bucket").applyInArrow(reduce, ANSWER)
 
 
@@ -230,7 +229,7 @@ def compared(texts: DataFrame) -> DataFrame:
                 at = pa.array(r)
                 yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("v").take(at), pa.array(start[s].astype(np.int32)), flat.field("h").slice(a, len(r)), flat.field("anchor").slice(a, len(r)), strings], ["d", "v", "start", "h", "anchor", "string"])
 
-    return texts.where("size(compare) > 0").select("d", "v", "bytes", "compare").mapInArrow(run, "d long, v long, start int, h long, anchor int, string binary")
+    return texts.where("size(compare) > 0").select("d", "v", "bytes", "compare").mapInArrow(B.tidy(run), "d long, v long, start int, h long, anchor int, string binary")
 
 
 COVERED = "d long, v long, start int, stop int"
@@ -393,7 +392,7 @@ def removed(docs: DataFrame, carry: list[str] | None = None) -> tuple[DataFrame,
     both = texts.select("d", "v", "bytes", "whole").join(more, ["d", "v"], "left")
     gone = F.concat("whole", F.coalesce("more", F.expr("cast(array() as array<struct<start:int,stop:int>>)")))
     both = both.select("d", "v", "bytes", gone.alias("gone")).where("size(gone) > 0")
-    return named, both.mapInArrow(_results, "d long, v long, n_removed long, n_spans long, left binary")
+    return named, both.mapInArrow(B.tidy(_results), "d long, v long, n_removed long, n_spans long, left binary")
 
 
 def report(docs: DataFrame) -> DataFrame:

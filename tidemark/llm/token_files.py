@@ -55,7 +55,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, join
                 done += int(at[-1])
 
     ranges = docs.repartitionByRange(shards, "doc_id", F.substring("text", 1, 64))  # a doc_id of very many rows is cut too
-    rows = ranges.sortWithinPartitions("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shard int, local_start long, n_tokens long, tokens array<int>")
+    rows = ranges.sortWithinPartitions("doc_id", "text").mapInArrow(B.tidy(run, False), f"doc_id {kind}, shard int, local_start long, n_tokens long, tokens array<int>")
     options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": 2000, "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true"}
     rows.write.options(**options).parquet(f"{path}/tokens")
     totals = spark.read.parquet(f"{path}/tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
