@@ -176,6 +176,7 @@ def test_committer_on_control_rows(spark, tmp_path):
     q.awaitTermination()
     (r,) = spark.read.parquet(str(tmp_path / "out")).collect()
     assert (r.committed, r.n_completed, r.n_orphaned, r.gap_depth) == (150, 3, 2, 0)
+    assert sorted(map(tuple, committer_job.orphan_rows(spark.read.parquet(str(tmp_path / "out"))).collect())) == [(0, 100), (0, 105)]
 
 
 def test_dead_letters_come_before_commits(spark):

@@ -8,6 +8,7 @@ the last commit.  What can't be told yet waits; what can never be committed is a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -29,6 +30,7 @@ class Committer:
     last: int = -1  # the record last committed in this epoch
     ready: Item | None = None
     waiting: list[Item] = field(default_factory=list)
+    stamps: Counter = field(default_factory=Counter)  # predecessors of what waits, so that a taken record finds its successor at once
     advance: bool = False  # something that waits may have become the successor
     low: int | None = None
     high: int | None = None
@@ -46,7 +48,8 @@ class Committer:
                 self._orphan(self.ready)
             for x in self.waiting:
                 self._orphan(x)
-            self.ready, self.waiting = None, []
+            self.ready = None
+            self._waits([])
         self.baseline, self.last, self.assigned, self.revoked, self.advance = baseline, -1, True, False, bool(self.waiting)
 
     def revoke(self) -> None:
@@ -102,7 +105,7 @@ class Committer:
             else:
                 break
             used += 1
-        self.waiting = kept[used:]
+        self._waits(kept[used:])
 
     def tick(self, send: Callable[[int], bool] = lambda offset: True) -> int | None:
         """Commits what is ready; the committed offset, or None.  If ``send`` fails nothing changes."""
@@ -110,7 +113,8 @@ class Committer:
         if not self.assigned:
             for x in [*([self.ready] if self.ready else []), *self.waiting]:
                 self._orphan(x)
-            self.ready, self.waiting, self.advance = None, [], False
+            self.ready, self.advance = None, False
+            self._waits([])
             return None
         if self.ready is None:
             self._repair()
@@ -147,11 +151,15 @@ class Committer:
         if self.ready is not None:
             self.finished.append(self.ready)
         self.ready = x
-        self.advance |= any(w.prev == x.offset for w in self.waiting)
+        self.advance |= x.offset in self.stamps
 
     def _wait(self, x: Item) -> None:
         x.traits |= BUFFERED
         self.waiting.append(x)
+        self.stamps[x.prev] += 1
+
+    def _waits(self, items: list[Item]) -> None:
+        self.waiting, self.stamps = items, Counter(x.prev for x in items)
 
     def _orphan(self, x: Item) -> None:
         x.traits |= ORPHANED
@@ -168,5 +176,5 @@ class Committer:
         for x in self.waiting:
             if x.offset < found.offset:
                 self._orphan(x)
-        self.waiting = [x for x in self.waiting if x.offset > found.offset]
+        self._waits([x for x in self.waiting if x.offset > found.offset])
         self.ready, self.advance = found, bool(self.waiting)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import sequence
 from tidemark.streaming.committer import ORPHANED, Committer, Item
 
-COMMITS = "partition int, committed long, n_completed long, n_orphaned long, gap_depth long, high long"
+COMMITS = "partition int, committed long, n_completed long, n_orphaned long, gap_depth long, high long, orphans array<long>"
 
 
 def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -35,9 +35,9 @@ def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
             done += 1
             c.complete(Item(int(r.offset), int(r.prev_offset), bool(r.is_first), int(r.read_us)))
     committed = c.tick()
-    orphans = sum(bool(x.traits & ORPHANED) for x in c.take_finished())
+    orphans = [x.offset for x in c.take_finished() if x.traits & ORPHANED]
     state.update((pickle.dumps(c),))
-    yield pd.DataFrame([{"partition": key[0], "committed": committed, "n_completed": done, "n_orphaned": orphans, "gap_depth": len(c.waiting), "high": c.high}]).astype({"committed": "Int64", "high": "Int64"})
+    yield pd.DataFrame([{"partition": key[0], "committed": committed, "n_completed": done, "n_orphaned": len(orphans), "gap_depth": len(c.waiting), "high": c.high, "orphans": orphans}]).astype({"committed": "Int64", "high": "Int64"})
 
 
 def commits(completions: DataFrame) -> DataFrame:
@@ -45,6 +45,11 @@ def commits(completions: DataFrame) -> DataFrame:
     return completions.groupBy("partition").applyInPandasWithState(step, COMMITS, "state binary", "append", "NoTimeout")
 
 
+def orphan_rows(committed: DataFrame) -> DataFrame:
+    """(partition, offset) of the records that can never be committed, from commits()."""
+    return committed.select("partition", F.explode("orphans").alias("offset"))
+
+
 def shared(spark: SparkSession) -> str:
     """A new folder for a job's files and checkpoint, below the one that all executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
