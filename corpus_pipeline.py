@@ -48,7 +48,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4096 tokens, with checksums of their ids."""
-    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -115,3 +115,69 @@ def test_packing_repeats_and_nothing(spark):
     assert {r["count"] for r in twice} == {2}
     assert got.where("doc_id is null").agg(F.sum("length")).first()[0] == sum(len(ids_of(WORDS, t, 2)) for t in ("null id here", None))
     assert packing.pack(empty(spark), WORDS).count() == 0
+
+
+HARD = ["a", "B", "s", "'", "'s", "'T", "'Re", "ll", "é", "É", "ß", "Ÿ", "×", "÷", "ª", "µ", "\u0301", "\u0331", "\u0307", "\u030c", "j", "J", "H", "W", "I", "İ", "Σ", "0", "12", "٣", "²", ",", "-", "!", "|", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "endoftext", "=", "\u0338", "\x7f", "\x1c", "\x85", "\u3000", "\xa0", " ", " ", "\n", "漢", "ᄀ", "ᅡ", "\u212a", "😀", "\u200d", "Ü", "\u0304", "The", "don't", "\u09c7", "\u09be", "\x00"]
+
+
+def test_cut_and_folded_words_keep_ids(monkeypatch):
+    """Random strings of what cuts inside words, case folding and the direct way to the model could get wrong."""
+    import random
+
+    import pyarrow as pa
+
+    from tidemark.llm import _ids
+
+    for keep in (_ids.KEEP, 50):
+        monkeypatch.setattr(_ids, "KEEP", keep)
+        draw, table = random.Random(keep), _ids.Encoder(WORDS, False)
+        for k in range(16):
+            texts = ["".join(draw.choices(HARD, k=draw.randint(0, 12))) for _ in range(250)] + [None, "", "The", "The"]
+            texts = [t and t.replace("<|", "<") for t in texts] if k % 2 else texts  # without a special token letters are folded
+            ids, at = table.encode(pa.array(texts), 9)
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(WORDS, t, 9) for t in texts]
+
+
+class Counting:
+    """A tokenizer, or its model, that keeps what it is asked to encode."""
+
+    def __init__(self, inner, asked):
+        self.inner, self.asked = inner, asked
+
+    def __getattr__(self, name):
+        return Counting(self.inner.model, self.asked) if name == "model" else getattr(self.inner, name)
+
+    def encode_batch_fast(self, texts, **how):
+        self.asked += texts
+        return self.inner.encode_batch_fast(texts, **how)
+
+    def tokenize(self, word):
+        self.asked.append(word)
+        return self.inner.tokenize(word)
+
+
+def test_full_table_keeps_frequent_words(monkeypatch):
+    """New words without end fill the table again and again; words of all blocks are still encoded once, not once a filling."""
+    import pyarrow as pa
+
+    from tidemark.llm import _ids
+
+    monkeypatch.setattr(_ids, "KEEP", 400)
+    table, asked = _ids.Encoder(WORDS, False), []
+    table.tokenizer = Counting(table.tokenizer, asked)
+    letters = "abcdefghij"
+    for k in range(60):
+        new = " ".join("z" + "".join(letters[int(c)] for c in f"{k * 50 + i:06}") for i in range(50))
+        ids, _ = table.encode(pa.array([f"often {new} always, 12"]), 9)
+        assert ids.tolist() == ids_of(WORDS, f"often {new} always, 12", 9)
+    assert len(table.keys) <= 400 and len(asked) >= 3000
+    assert asked.count("often") == 1 and sum("always" in x for x in asked) == 1
+
+
+def test_one_way_through_a_worker(spark, sf):
+    """Cutting and summing ids is one pass of one worker, with the rows of digests(pack())."""
+    rows = [(i, r.text, "x", "y") for i, r in enumerate(docs(spark).collect())]
+    df = docs(spark, rows).coalesce(1)
+    got, want = packing.pack_digests(df, WORDS), packing.digests(packing.pack(df, WORDS))
+    assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect())
+    assert packing.op8_harmonic_packing(spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

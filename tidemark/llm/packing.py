@@ -16,7 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,12 @@ CAPACITY, END_ID = 4096, 2
 SEQUENCES = 1 << 36  # sequence ids of one worker's partition
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, joins_spaces: bool = False) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset and ids."""
+def _packer(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, joins_spaces: bool = False) -> tuple[Callable, str]:
+    """What makes a worker's texts pieces, and the pieces' columns before ids."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity is a power of two")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long"
     classes = [1 << k for k in range(capacity.bit_length() - 1, -1, -1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,32 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
                     yield made((rows[0].slice(a, 1 << bit), *(x[a : a + (1 << bit)] for x in rows[1:])), np.full(1 << bit, used), k * size, size)
                     used, a = used + 1, a + (1 << bit)
 
-    return docs.select("doc_id", "text").mapInArrow(B.tidy(run, False), schema)
+    return run, schema
+
+
+def pack(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
+    """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset and ids.  how: end_id, capacity and joins_spaces."""
+    run, schema = _packer(docs, tokenizer, **how)
+    return docs.select("doc_id", "text").mapInArrow(B.tidy(run, False), f"{schema}, ids array<int>")
+
+
+def pack_digests(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
+    """digests(pack(...)); the ids are summed by the worker that has made them and never leave it."""
+    pieces, schema = _packer(docs, tokenizer, **how)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield _summed(batch, "ids")
+
+    return docs.select("doc_id", "text").mapInArrow(B.tidy(run, False), f"{schema}, ids_crc32 long")
+
+
+def _summed(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    names, lists = [c for c in batch.schema.names if c != column], batch.column(column)
+    values = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"))).cast("B")
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64) * 4
+    sums = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sums, pa.int64())], [*names, "ids_crc32"])
 
 
 def digests(pieces: DataFrame, column: str = "ids") -> DataFrame:
@@ -94,11 +119,7 @@ def digests(pieces: DataFrame, column: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(column)
-            values = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"))).cast("B")
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64) * 4
-            sums = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sums, pa.int64())], [*names, "ids_crc32"])
+            yield _summed(batch, column)
 
     return pieces.mapInArrow(B.tidy(run, False), schema)
 
@@ -107,4 +128,4 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digests(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return pack_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
