@@ -111,22 +111,22 @@ class Encoder:
 
     def encoded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
         """The ids of each segment."""
-        raw, out = data.tobytes(), [[]] * len(start)
-        plain = np.zeros(len(start), bool)
-        if self.by_words:
-            fine = (data >= 97) & (data <= 122)
-            two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] != 0xB7))  # lower-case letters of U+00DF to U+00FF
-            fine[two] = fine[two + 1] = True
-            strange = np.concatenate([[0], np.cumsum(~fine)])
-            plain = strange[end] == strange[start]
-            chars, tokenize = _BYTE_LEVEL[data].tobytes().decode("utf-32-le"), self.tokenizer.model.tokenize
-            for k, a, b in zip(np.flatnonzero(plain).tolist(), start[plain].tolist(), end[plain].tolist(), strict=True):
-                out[k] = [t.id for t in tokenize(chars[a:b])]
-        rest = np.flatnonzero(~plain)
-        found = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)], add_special_tokens=False)
-        for k, e in zip(rest.tolist(), found, strict=True):
-            out[k] = e.ids
-        return out
+        raw = data.tobytes()
+
+        def whole(start: np.ndarray, end: np.ndarray) -> list[list[int]]:
+            return [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)], add_special_tokens=False)]
+
+        if not self.by_words:
+            return whole(start, end)
+        fine = (data >= 97) & (data <= 122)
+        two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] != 0xB7))  # lower-case letters of U+00DF to U+00FF
+        fine[two] = fine[two + 1] = True
+        strange = np.concatenate([[0], np.cumsum(~fine)])
+        plain = strange[end] == strange[start]
+        chars, tokenize = _BYTE_LEVEL[data].tobytes().decode("utf-32-le"), self.tokenizer.model.tokenize
+        found = iter([[t.id for t in tokenize(chars[a:b])] for a, b in zip(start[plain].tolist(), end[plain].tolist(), strict=True)])
+        others = iter(whole(start[~plain], end[~plain]))
+        return [next(found) if k else next(others) for k in plain.tolist()]
 
     def room(self, many: int) -> None:
         """Makes room for so many new segments."""
