@@ -6,7 +6,7 @@ import pytest
 from cases import docs, empty
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, minhash
+from tidemark.llm import _files, components, minhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -110,3 +110,38 @@ def test_blocks_of_long_texts(spark, monkeypatch):
             own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(own) * (1 if i else 3), "en", "s"))
     check(docs(spark, rows))
+
+
+def test_few_links_need_no_rounds(spark):
+    """Small tables of links are united in one task: no shuffles, and no table a round."""
+    path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    made = len(_files.made)
+    found = components.components(path)
+    assert len(_files.made) == made + 1
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.node: r.label for r in found.collect()} == dict.fromkeys(range(301), 0)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rounds_and_one_task_agree(spark, monkeypatch, kind):
+    """Random links, repeated ones, loops and nulls: the same components on both sides of FEW, whose boundary is inclusive."""
+    r = random.Random(9)
+    rows = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(i, 7) for i in range(500, 560)]
+    rows += rows[:20] + [(3, 3), (None, 5), (5, None), (None, None)]
+    links = spark.createDataFrame(rows, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind))
+    real = links.where("a <> b").count()
+    got = []
+    for few in (real, real - 1):
+        monkeypatch.setattr(components, "FEW", few)
+        made = len(_files.made)
+        got.append(sorted(map(tuple, components.components(links).collect())))
+        assert (len(_files.made) == made + 1) == (few == real)
+    assert got[0] == got[1] and len(got[0]) == len(set(got[0]))
+    assert (got[0][0][0] == min(x for x, _ in got[0])) and len({y for _, y in got[0]}) > 5
+
+
+def test_links_by_rounds(spark, monkeypatch):
+    """The whole operator with every table of links dealt out."""
+    monkeypatch.setattr(components, "FEW", 0)
+    monkeypatch.setattr(minhash, "WIDE", 2)
+    test_ring_between_components(spark)

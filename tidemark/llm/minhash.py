@@ -239,7 +239,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = more.union(blocks(wide, texts, percent))
     more = stored(more, "more")
     if not more.isEmpty():
-        labels = stored(components(links.union(more)), "labels")
+        labels = stored(components(labels.union(more)), "labels")
     # every document
     named = classes.select("f1", "f2", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("f1", "f2", "n_shingles", label.alias("component_id"))
