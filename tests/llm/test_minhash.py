@@ -145,3 +145,38 @@ def test_links_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "FEW", 0)
     monkeypatch.setattr(minhash, "WIDE", 2)
     test_ring_between_components(spark)
+
+
+def test_small_partitions_are_few_files(spark):
+    """Many small shuffle partitions: tables between steps are written by a bounded number of tasks, and no link is lost."""
+    r = random.Random(33)
+    rows = []
+    for i in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        rows.append((2 * i, " ".join(words), "en", "s"))
+        words[r.randrange(60)] = "other"
+        rows.append((2 * i + 1, " ".join(words), "en", "s"))
+    held = {"spark.sql.shuffle.partitions": "80", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    made = len(_files.made)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        most = 8 * spark.sparkContext.defaultParallelism
+        assert most < 80
+        check(docs(spark, rows))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p: len(spark.read.parquet(p).inputFiles()) for p in _files.made[made:]}
+    names = {"classes", "members", "pairs", "texts", "measured"}
+    steps = {p: n for p, n in files.items() if p.rsplit("/", 1)[1].split("-")[0] in names}
+    assert len(steps) == 6 and max(steps.values()) <= most
+
+
+def test_tasks_grow_with_the_input(spark):
+    least = 8 * spark.sparkContext.defaultParallelism
+    signs = lambda n, size: spark.range(n).select(F.lit(size).cast("long").alias("n_shingles"))
+    assert minhash.tasks(signs(0, 0)) == minhash.tasks(signs(1000, 50)) == least
+    assert minhash.tasks(signs(1000, minhash.SHARE)) >= 1000
+    assert minhash.tasks(signs(1_000_000, 0)) == 100_000_000 // minhash.SHARE

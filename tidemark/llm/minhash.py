@@ -48,6 +48,8 @@ from tidemark.llm.components import components
 
 T, R, PERCENT = 13, 3, 85
 WIDE, BLOCK, BYTES = 16, 2048, 16 << 20
+#: Shingles, and 100 for each document, of a task's share of the input (about 1.5 MB of text).
+SHARE = 250_000
 _random = np.random.RandomState(97)
 _MULTIPLY = _random.randint(0, 1 << 62, 2 * T * R, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.randint(0, 1 << 62, 2 * T * R, dtype=np.int64).view(np.uint64)
@@ -100,8 +102,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(B.tidy(run), f"doc_id {kind}, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with the sizes of intersection and union of their full sets."""
+def tasks(signs: DataFrame) -> int:
+    """How many tasks write a step's table at most: eight a core, or one for each ``SHARE`` of the input.  Small inputs dealt over many shuffle partitions needn't be as many files and runs of Python."""
+    total = signs.agg(F.sum(F.col("n_shingles") + 100)).first()[0] or 0
+    return max(8 * signs.sparkSession.sparkContext.defaultParallelism, total // SHARE)
+
+
+def compared(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """pairs (a, b) with the sizes of intersection and union of their full sets, by ``most`` tasks at most."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -124,7 +132,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common.astype(np.int64)), pa.array(union.astype(np.int64))], ["a", "b", "common", "whole"])
                 first = last
 
-    return both.mapInArrow(B.tidy(run), f"a {kind}, b {kind}, common long, whole long")
+    return both.coalesce(most).mapInArrow(B.tidy(run), f"a {kind}, b {kind}, common long, whole long")
 
 
 def shingled(texts: DataFrame) -> DataFrame:
@@ -139,11 +147,11 @@ def shingled(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(B.tidy(run), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long")
 
 
-def blocks(wide: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def blocks(wide: DataFrame, texts: DataFrame, percent: int, most: int) -> DataFrame:
     """Links (a, b) between components of each bunch.  wide: classes rep, with a label, by the least class of each wide table key that they have."""
     bunches = components(wide.select("least", "rep"))
     reps = wide.select("rep", "label").distinct().join(bunches.select(F.col("node").alias("rep"), F.col("label").alias("bunch")), "rep")
-    reps = _files.stored(reps, "bunches")
+    reps = _files.stored(reps.coalesce(most), "bunches")
     size = texts.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("bytes"))
     many = reps.join(size, "rep").groupBy("bunch").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BYTES)).cast("int").alias("n"))
     placed = reps.join(many, "bunch").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
@@ -183,8 +191,9 @@ def blocks(wide: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    stored = _files.stored
-    signs = stored(signatures(docs), "signatures")
+    signs = _files.stored(signatures(docs), "signatures")
+    most = tasks(signs)
+    stored = lambda df, name: _files.stored(df.coalesce(most), name)
     real = signs.where("f1 is not null and doc_id is not null")
     classes = stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep")), "classes")
     # half keys that several classes have, and their combinations
@@ -201,7 +210,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = stored(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(docs.select("doc_id", "text").hint("merge").join(wanted.hint("merge"), "doc_id", "left_semi").distinct(), "texts")
-    measured = stored(compared(pairs, texts), "measured")
+    measured = stored(compared(pairs, texts, most), "measured")
     near = F.col("common") * 100 >= F.col("whole") * percent
     links = measured.where(near).select("a", "b")
     labels = stored(components(links), "labels")
@@ -232,12 +241,12 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     crossing = minor.join(others, ["key", "cell"]).where(possible)
     crossing = crossing.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     crossing = stored(crossing, "crossing")
-    more = compared(crossing, texts).where(near).select("a", "b")
+    more = compared(crossing, texts, most).where(near).select("a", "b")
     wide = inside.join(keys.where(F.col("size") > WIDE).select("key", "least"), "key").select("least", "rep", "label").distinct()
     wide = stored(wide, "wide")
     if not wide.isEmpty():
-        more = more.union(blocks(wide, texts, percent))
-    more = stored(more, "more")
+        more = more.union(blocks(wide, texts, percent, most))
+    more = _files.stored(more, "more")
     if not more.isEmpty():
         labels = stored(components(labels.union(more)), "labels")
     # every document
